@@ -41,24 +41,25 @@ def ordered_digest(df: DataFrame, by: Sequence[str], position: str, columns: Seq
     task ever holds more than FAN_OUT entries of one group at a time.
     """
     by = list(by)
-    level = df.select(*by, F.col(position).cast("long").alias("_p"), F.sha2(canonical(*columns), 256).alias("_h"), F.lit(1).alias("_n"))
+    row_hash = F.sha2(canonical(*columns), 256)
+    level = df.select(*by, F.col(position).cast("long").alias("_p"), row_hash.alias("_h"), F.lit(1).alias("_n"))
     for _ in range(3):
-        entries = F.array_sort(F.collect_list(F.struct("_p", "_h")))
-        level = (
-            level.groupBy(*by, F.floor(F.col("_p") / FAN_OUT).alias("_b"))
-            .agg(F.sum("_n").alias("_n"), F.sha2(F.array_join(F.transform(entries, lambda e: e["_h"]), "\n"), 256).alias("_h"))
-            .withColumnRenamed("_b", "_p")
-        )
+        level = level.groupBy(*by, F.floor(F.col("_p") / FAN_OUT).alias("_b")).agg(*_combined())
+        level = level.withColumnRenamed("_b", "_p")
+    return level.groupBy(*by).agg(*_combined()).select(*by, F.col("_n").alias("n"), F.col("_h").alias("digest"))
+
+
+def _combined() -> list[Column]:
     entries = F.array_sort(F.collect_list(F.struct("_p", "_h")))
-    whole = F.sha2(F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["_p"], e["_h"])), "\n"), 256)
-    return level.groupBy(*by).agg(F.sum("_n").cast("long").alias("n"), whole.alias("digest"))
+    text = F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["_p"], e["_h"])), "\n")
+    return [F.sum("_n").cast("long").alias("_n"), F.sha2(text, 256).alias("_h")]
 
 
 def fingerprint(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """Order-insensitive content fingerprint: count and two independent sums of row hashes."""
     columns = list(columns or [c for c in df.columns if c not in by])
     hashed = df.select(*by, F.md5(canonical(*columns)).alias("_h"))
-    piece = lambda start: F.conv(F.substring("_h", start, 8), 16, 10).cast("long")
+    piece = lambda start: F.conv(F.substring("_h", start, 8), 16, 10).cast("decimal(20,0)")
     return hashed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(piece(1)).alias("sum_head"), F.sum(piece(9)).alias("sum_tail")
     )

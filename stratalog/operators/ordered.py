@@ -69,11 +69,13 @@ def ordered_scan(
     outputs: Mapping[str, tuple],
     *,
     block: Column | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add one column per output, computed per ``key`` in ascending ``order``.
 
     (key, order) should identify a row; where it does not, the order among
-    equal rows is undefined, as in any window.
+    equal rows is undefined, as in any window. ``sizes`` passes on a
+    (largest key, all rows) count that the caller already has.
     """
     key, order = list(key), list(order)
     values = {
@@ -87,7 +89,7 @@ def ordered_scan(
         result = _by_block(df.withColumn(BLOCK, block), key, order, outputs)
     else:
         limit = group_rows(df.sparkSession)
-        largest, total = group_sizes(df, key)
+        largest, total = sizes or group_sizes(df, key)
         if largest <= limit:
             window = W.partitionBy(*key).orderBy(*order)
             result = df.withColumns({n: _inside(n, s, window) for n, s in outputs.items()})
