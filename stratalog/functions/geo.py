@@ -12,7 +12,8 @@ from stratalog.functions.text import _c
 def great_circle_km(lat1, lon1, lat2, lon2, radius: float = fixed.EARTH_RADIUS_KM) -> Column:
     a_lat, a_lon, b_lat, b_lon = (F.radians(_c(x)) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((b_lat - a_lat) / 2), 2) + F.cos(a_lat) * F.cos(b_lat) * F.pow(F.sin((b_lon - a_lon) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # not least(): it would skip a null and turn an unknown position into a distance
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(h > 1.0, F.lit(1.0)).otherwise(h)))
 
 
 def usable_position(lat, lon) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.functions import fixed
 from stratalog.functions.text import _c
@@ -42,7 +43,7 @@ def same_float32(a: str | Column, b: str | Column) -> Column:
     return bounded & (x == y) & (x.cast("string") == y.cast("string"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def equal_bits(a: pd.Series, b: pd.Series) -> pd.Series:
     """Float32 vectors with identical bits; NaN payloads and signed zeros count."""
 

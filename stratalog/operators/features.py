@@ -137,7 +137,7 @@ def top_categories(df: DataFrame, columns: Sequence[str], k: int = MAX_CATEGORIE
     if not columns:
         raise ValueError("no categorical columns")
     entries = F.array(*[F.struct(F.lit(c).alias("column"), category(quoted(c)).alias("label")) for c in columns])
-    long = df.select(*order, F.explode(entries).alias("e")).select(*order, "e.*").where("label is not null")
+    long = df.select(*order, F.explode_outer(entries).alias("e")).select(*order, "e.*").where("label is not null")
     first = F.min(F.struct(*order)) if order else F.min("label")
     counts = long.groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"), first.alias("_first"))
     totals = counts.groupBy("column").agg(F.sum("n").alias("n_present"))
@@ -206,7 +206,7 @@ def coverage(features: str) -> Column:
 
 def feature_statistics(df: DataFrame, features: str) -> DataFrame:
     """``pos, n, q25, q50, q75, sd_pop`` per array position over the finite values."""
-    long = df.select(F.posexplode(features).alias("pos", "x")).where("x is not null and not isnan(x)")
+    long = df.select(F.posexplode_outer(features).alias("pos", "x")).where("x is not null and not isnan(x)")
     long = long.where(F.abs(F.col("x")) < float("inf"))
     quartiles = exact_percentiles(long, ["pos"], "x", [0.25, 0.5, 0.75])
     spread = long.groupBy("pos").agg(F.stddev_pop("x").alias("sd_pop"))
@@ -290,10 +290,7 @@ def band_columns(df: DataFrame, prefix: str = "band_") -> list[str]:
 
 def filled_bands(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``features`` array of the columns, a missing value replaced by the column median, then by 0."""
-    values = F.array(*[blank_to_null(quoted(c)).try_cast("double") for c in columns])
-    base = df.withColumn("features", values)
-    medians = {r.pos: r.q50 for r in feature_statistics(base, "features").select("pos", "q50").collect()}
-    return base.withColumn(
-        "features",
-        F.array(*[F.coalesce(F.get("features", F.lit(i)), F.lit(float(medians.get(i, 0.0)))) for i in range(len(columns))]),
-    )
+    values = [blank_to_null(quoted(c)).try_cast("double") for c in columns]
+    stats = feature_statistics(df.select(F.array(*values).alias("features")), "features")
+    medians = {r.pos: r.q50 for r in stats.select("pos", "q50").collect()}  # one row per band
+    return df.withColumn("features", F.array(*[F.coalesce(v, F.lit(float(medians.get(i, 0.0)))) for i, v in enumerate(values)]))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.functions.geo import great_circle_km, offset_at, position_at, trace_depths
 from stratalog.functions import fixed
@@ -18,7 +19,8 @@ from stratalog.session import group_rows, group_sizes, settle_table
 
 def trace_points(holes: DataFrame, *, hole: str = "hole_id", length: str = "drawn_length_m", step: float = 5.0) -> DataFrame:
     """Points every ``step`` metres down each hole and always its bottom, as offsets from the collar."""
-    points = holes.select(hole, "inclination_deg", "azimuth_deg", F.posexplode(trace_depths(length, step)).alias("point", "_d"))
+    points = holes.select(hole, "inclination_deg", "azimuth_deg", F.posexplode_outer(trace_depths(length, step)).alias("point", "_d"))
+    points = points.where("_d is not null")
     at = offset_at("_d", "inclination_deg", "azimuth_deg")
     return points.withColumn("_o", at).select(
         hole, "point", F.bround("_d", 2).alias("depth_m"),
@@ -89,7 +91,7 @@ def pack_sheets(rows: DataFrame, *, hole: Sequence[str], order: Sequence[str], h
 
 
 def _pack_small(rows: DataFrame, hole: list[str], order: list[str], height: str, limit: int) -> DataFrame:
-    schema = rows.schema.add("sheet_index", "int").add("y_from_px", "long").add("y_to_px", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("sheet_index", T.IntegerType()), T.StructField("y_from_px", T.LongType()), T.StructField("y_to_px", T.LongType())])
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)

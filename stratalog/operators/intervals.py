@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.functions.arrays import explode_present
 from stratalog.operators.ordered import before, lag, lead, number, onward, ordered_scan, upto
 from stratalog.session import maybe_broadcast
 
@@ -227,24 +228,24 @@ def fill_gaps(
     """
     key = list(key)
     ext = extent.select(*key, F.col(length).cast("double").alias("_len")).where("_len > 0")
-    inside = runs.join(ext, key)
-    clipped = inside.withColumn(hi, F.least(F.col(hi).cast("double"), F.col("_len")))
-    reached = ordered_scan(clipped, key, [lo, hi], {"_reached": before("max", hi)}, block=block)
-    reached = reached.withColumn("_reached", F.coalesce("_reached", F.lit(0.0)))
-    kept = reached.withColumn(lo, F.greatest(F.col(lo).cast("double"), F.col("_reached"))).where(F.col(hi) > F.col(lo))
     others = [c for c in runs.columns if c not in {*key, lo, hi}]
-    types = dict(runs.dtypes)
-    empty = [F.lit(None).cast(types[c]).alias(c) for c in others]
-    logged = kept.select(*key, lo, hi, *others, F.lit(True).alias("logged"))
-    holes = kept.where(F.col(lo) > F.col("_reached")).select(
-        *key, F.col("_reached").alias(lo), F.col(lo).alias(hi), *empty, F.lit(False).alias("logged")
+    clipped = ext.join(runs, key, "left").withColumn(hi, F.least(F.col(hi).cast("double"), F.col("_len")))
+    seen = ordered_scan(clipped, key, [lo, hi], {"_reached": before("max", hi), "_next": lead(F.lit(1))}, block=block)
+    reached = F.coalesce("_reached", F.lit(0.0))
+    top = F.greatest(F.col(lo).cast("double"), reached)
+    kept = F.coalesce(F.col(hi) > top, F.lit(False))
+    end = F.coalesce(F.greatest(reached, F.col(hi)), reached)
+    piece = lambda a, b, logged: F.struct(a.alias("lo"), b.alias("hi"), F.lit(logged).alias("logged"))
+    pieces = F.array(
+        F.when(kept & (top > reached), piece(reached, top, False)),
+        F.when(kept, piece(top, F.col(hi), True)),
+        F.when(F.col("_next").isNull() & (end < F.col("_len")), piece(end, F.col("_len"), False)),
     )
-    ends = kept.groupBy(*key).agg(F.max(hi).alias("_end"))
-    tail = ext.join(ends, key, "left").withColumn("_end", F.coalesce("_end", F.lit(0.0)))
-    tail = tail.where(F.col("_end") < F.col("_len")).select(
-        *key, F.col("_end").alias(lo), F.col("_len").alias(hi), *empty, F.lit(False).alias("logged")
+    laid = explode_present(seen, pieces, "_p")
+    return laid.select(
+        *key, F.col("_p.lo").alias(lo), F.col("_p.hi").alias(hi),
+        *[F.when(F.col("_p.logged"), F.col(c)).alias(c) for c in others], F.col("_p.logged").alias("logged"),
     )
-    return logged.unionByName(holes).unionByName(tail)
 
 
 def section_parent(sections: DataFrame, trays: DataFrame, *, key: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.functions.arrays import explode_present
 from stratalog.functions.numbers import equal_bits
 from stratalog.operators.align import log_off_axis, vector_disagreements
 from stratalog.operators.intervals import covering, coverage_violations, rectangle_overlaps, self_overlaps
@@ -305,7 +306,7 @@ def payload_rules(profiles: DataFrame, *, key: Sequence[str]) -> DataFrame:
         F.when(F.col("kind") == "spectral", F.struct(F.lit("SPECTRAL_MATRIX_ORDER_UNCONFIRMED").alias("code"), F.lit("warning").alias("severity"), F.lit("row order is not declared by the source").alias("detail"))),
     )
     scope = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
-    rows = profiles.select(scope.alias("scope"), F.explode(F.array_compact(issues)).alias("i"))
+    rows = explode_present(profiles, issues, "i").withColumn("scope", scope)
     return rows.select("i.code", "scope", "i.severity", "i.detail")
 
 
@@ -332,7 +333,7 @@ def package_identity(packages: DataFrame) -> DataFrame:
         F.when(F.col("distinct_datasets") < F.col("dataset_count"), "dataset listed twice"),
         F.when(F.coalesce("missing_documents", F.lit(0)) > 0, "documents missing or of wrong type"),
     )
-    bad = packages.withColumn("_f", F.explode(F.array_compact(findings)))
+    bad = explode_present(packages, findings, "_f")
     return violation(bad, "package identity", ["hole_id"], F.col("_f"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.functions.arrays import explode_present
 from stratalog.functions.geo import great_circle_km
 from stratalog.functions.text import fold_name
 from stratalog.session import maybe_broadcast, settle_table
@@ -65,7 +66,7 @@ def reconcile(manifest: DataFrame, listing: DataFrame, *, key: Sequence[str]) ->
         F.when(F.coalesce("_incomplete", F.lit(0)) > 0, "incomplete record"),
         F.when(~provided & (F.coalesce("_absent", F.lit(0)) == 0) & there, F.when(path.endswith(".part"), "partial download").otherwise("unlisted file")),
     )
-    return both.select(*key, F.explode(F.array_compact(findings)).alias("finding"))
+    return explode_present(both, findings, "finding").select(*key, "finding")
 
 
 def resolve_places(holes: DataFrame, collars: DataFrame) -> DataFrame:
@@ -262,8 +263,8 @@ def hole_distance(holes: DataFrame, a, b, *, hole: str = "hole_id") -> DataFrame
         pick(a, "latitude").alias("alat"), pick(a, "longitude").alias("alon"),
         pick(b, "latitude").alias("blat"), pick(b, "longitude").alias("blon"),
     )
-    known = pair.where("alat is not null and blat is not null")
-    return known.select(F.lit(a).alias("a"), F.lit(b).alias("b"), great_circle_km("alat", "alon", "blat", "blon").alias("distance_km"))
+    known, kind = pair.where("alat is not null and blat is not null"), dict(holes.dtypes)[hole]
+    return known.select(F.lit(a).cast(kind).alias("a"), F.lit(b).cast(kind).alias("b"), great_circle_km("alat", "alon", "blat", "blon").alias("distance_km"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, *, key: Sequence[str]) -> DataFrame:

@@ -24,7 +24,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("top", F.when(first == "{", "object").when(first == "[", "array").otherwise("other"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strict_json_problem(text: pd.Series) -> pd.Series:
     """Why a JSON text is refused (syntax, repeated key, NaN or infinity), null if it is fine."""
 

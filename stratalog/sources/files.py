@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
@@ -81,8 +82,9 @@ def read_spectra(files: DataFrame, *, rows_per_block: int = 4096, keep: Sequence
         "_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1, F.lit(rows_per_block).cast("long")))
     )
     shards = shards.withColumn("_count", F.least(F.lit(rows_per_block).cast("long"), F.col("_rows") - F.col("_start")))
-    schema = shards.drop("_rows", "_start", "_count", "bands").schema.add("sample_no", "long").add("values", "array<float>")
-    names = [f.name for f in schema.fields]
+    kept = shards.select("path", *keep).schema.fields
+    schema = T.StructType([*kept, T.StructField("sample_no", T.LongType()), T.StructField("values", T.ArrayType(T.FloatType()))])
+    names = schema.fieldNames()
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -74,14 +74,11 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 def profile_number_errors(profiles: DataFrame) -> DataFrame:
     """Profile logs whose sample numbers are not 0..n-1, each once."""
     stats = profiles.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"), F.min("sample_no").alias("lo"), F.max("sample_no").alias("hi"), F.count("sample_no").alias("c"),
-        F.sum(F.col("sample_no").cast("decimal(20,0)")).alias("s"), F.sum((F.col("sample_no") * F.col("sample_no")).cast("decimal(38,0)")).alias("q"),
+        F.count(F.lit(1)).alias("n"), F.count("sample_no").alias("c"), F.min("sample_no").alias("lo"), F.max("sample_no").alias("hi")
     )
-    n = F.col("n").cast("decimal(20,0)")
-    # first two moments of 0..n-1 with the right ends: only a permutation with equal power sums passes
-    right = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("c") == F.col("n")) & (F.col("s") * 2 == n * (n - 1))
-    repeated = profiles.groupBy("path", "sample_no").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("path").distinct()
-    return stats.where(~right).select("path").unionByName(repeated).distinct()
+    ends = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("c") == F.col("n"))
+    repeated = profiles.groupBy("path", "sample_no").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("path")
+    return stats.where(~ends).select("path").unionByName(repeated).distinct()
 
 
 def read_measurements(spark: SparkSession, folder: str, *, id_columns: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ def ingest(revisions: DataFrame, target: str, checkpoint: str, *, ident: str = "
         spark = batch.sparkSession
         once = batch.dropDuplicates([ident, digest])
         try:
-            stored = spark.read.schema(batch.schema.add("batch", "long")).option("basePath", target).parquet(target)
+            stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", target).parquet(target)
             existing = stored.where(F.col("batch") != batch_id).drop("batch")
         except Exception as error:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(error):
