@@ -99,19 +99,26 @@ def header_collars(df: DataFrame, *, xml: str = "description") -> DataFrame:
     ).drop("header")
 
 
-def read_membership(spark: SparkSession, path: str) -> DataFrame:
-    """dataset_id, kind, log_id (and file) of dataset-collection XML files."""
-    log = "struct<LogID:string,logID:string>"
+def read_membership(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """dataset_id, kind, log_id (and file) of dataset-collection XML files.
+
+    With ``multiline=False`` every line is one Dataset element, and large files split over tasks.
+    """
+    listed = lambda tag, ident: f"struct<{tag}:array<struct<{ident}:string>>>"
     schema = (
-        f"DatasetID string, DatasetName string, Logs struct<Log:array<{log}>>, SpectralLogs struct<SpectralLog:array<{log}>>, "
-        f"ProfilometerLogs struct<ProfLog:array<{log}>>, ImageLogs struct<Log:array<{log}>>"
+        f"DatasetID string, DatasetName string, Logs {listed('Log', 'LogID')}, SpectralLogs {listed('SpectralLog', 'logID')}, "
+        f"ProfilometerLogs {listed('ProfLog', 'logID')}, ImageLogs {listed('Log', 'LogID')}"
+    )
+    raw = spark.read.format("xml").option("rowTag", "Dataset").option("recursiveFileLookup", "true").option("multiLine", str(multiline).lower()).schema(schema).load(path)
+    groups = {
+        "scalar": "Logs.Log.LogID", "spectral": "SpectralLogs.SpectralLog.logID",
+        "profile": "ProfilometerLogs.ProfLog.logID", "image": "ImageLogs.Log.LogID",
+    }
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(field).alias("ids")) for kind, field in groups.items()])
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("DatasetID").alias("dataset_id"), F.col("DatasetName").alias("dataset_name"), F.explode(kinds).alias("g")
     )
-    raw = spark.read.format("xml").option("rowTag", "Dataset").option("recursiveFileLookup", "true").schema(schema).load(path)
-    groups = {"scalar": "Logs.Log", "spectral": "SpectralLogs.SpectralLog", "profile": "ProfilometerLogs.ProfLog", "image": "ImageLogs.Log"}
-    listed = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(field).alias("logs")) for kind, field in groups.items()])
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("DatasetID").alias("dataset_id"), F.col("DatasetName").alias("dataset_name"), F.explode(listed).alias("g"))
-    entries = rows.select("path", "dataset_id", "dataset_name", "g.kind", F.explode("g.logs").alias("l"))
-    return entries.select("path", "dataset_id", "dataset_name", "kind", F.coalesce("l.LogID", "l.logID").alias("log_id"))
+    return rows.select("path", "dataset_id", "dataset_name", "g.kind", F.explode("g.ids").alias("log_id"))
 
 
 def membership_problems(members: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalog.session import settle_table
+
 
 def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
     """path, relative path and size of every file below a folder; contents are not read."""
@@ -23,13 +25,21 @@ def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> Dat
     )
 
 
-def open_file(path: str):
-    """Seekable handle on any file system Arrow knows (local, HDFS, S3)."""
+def file_system(path: str):
+    """(Arrow file system, inner path) of a path as Spark lists it: unescaped, with or without scheme."""
     from pyarrow import fs
 
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[len("file:") :]
-    system, inner = fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    authority, _, inner = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return system, f"{base.rstrip('/')}/{inner}"
+
+
+def open_file(path: str):
+    """Seekable handle on any file system Arrow knows (local, HDFS, S3)."""
+    system, inner = file_system(path)
     return system.open_input_file(inner)
 
 
@@ -107,6 +117,29 @@ def ragged_files(files: DataFrame) -> DataFrame:
     return files.where((F.col("bands") <= 0) | (F.col("size") % (F.col("bands") * 4) != 0) | (F.col("size") == 0))
 
 
+def write_spectra(spectra: DataFrame, folder: str, *, name: str, values: str, order: str, rows_per_file: int = 65_536) -> DataFrame:
+    """Row-major float32 files of at most ``rows_per_file`` rows; ``name``, block and ``file`` of each.
+
+    Every file is written by one task from a bounded block of rows under a
+    fixed name, so a repeated task overwrites its own file with the same bytes.
+    """
+    target = folder.rstrip("/")
+
+    def save(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        key, block = part[name].iloc[0], int(part["_block"].iloc[0])
+        system, root = file_system(target)
+        system.create_dir(root)
+        label = f"{key}_{block}.f32"
+        with system.open_output_stream(f"{root}/{label}") as handle:
+            handle.write(np.stack(part[values].to_numpy()).astype("<f4").tobytes())
+        return pd.DataFrame({name: [key], "block": [block], "file": [label]})
+
+    placed = spectra.withColumn("_block", F.floor((F.col(order) - 1) / rows_per_file))
+    schema = T.StructType([spectra.schema[name], T.StructField("block", T.LongType()), T.StructField("file", T.StringType())])
+    return settle_table(placed.groupBy(name, "_block").applyInPandas(save, schema), "written")
+
+
 def file_hole(path: str | Column = "path", depth: int = 2) -> Column:
     """Hole id from the folder ``depth`` places from the end of a path."""
     p = F.col(path) if isinstance(path, str) else path

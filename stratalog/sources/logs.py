@@ -31,7 +31,7 @@ def numbered_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return counted.withColumn("source_row", F.col("source_row") - 1).drop("_start", "_at")
 
 
-def read_scalar_log(spark: SparkSession, path: str, *, mode: str = "strict") -> DataFrame:
+def read_scalar_log(spark: SparkSession, path: str, *, mode: str = "strict", glob: str = "*.csv") -> DataFrame:
     """path, source_row, start, end, token of StartDepth,EndDepth,value files.
 
     strict: exactly three columns, numeric depths, anything else fails the read.
@@ -40,10 +40,11 @@ def read_scalar_log(spark: SparkSession, path: str, *, mode: str = "strict") ->
     """
     if mode == "strict":
         reader = spark.read.option("header", "true").option("mode", "FAILFAST").option("recursiveFileLookup", "true")
-        reader = reader.option("emptyValue", "").option("nullValue", "\u0000").option("pathGlobFilter", "*.csv")
+        reader = reader.option("emptyValue", "").option("nullValue", "\u0000").option("pathGlobFilter", glob)
         rows = reader.schema("start double, end double, token string").csv(path)
-        return numbered_rows(rows, ["start", "end", "token"])
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
+        # the reader gives null for an empty field; the canonical token of it is the empty text
+        return numbered_rows(rows.withColumn("token", F.coalesce("token", F.lit(""))), ["start", "end", "token"])
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     if mode not in ("lenient", "literal"):
         raise ValueError(f"unknown mode {mode!r}")
     parts = F.split("value", ",", 3) if mode == "literal" else F.split("value", ",")
@@ -62,11 +63,11 @@ def read_scalar_log(spark: SparkSession, path: str, *, mode: str = "strict") ->
     return parsed
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+def read_profiles(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """path, sample_no, values of JSON-lines profiles; a malformed line fails the read."""
     rows = (
         spark.read.schema("sampleNo long, floatprofdata array<double>").option("mode", "FAILFAST").option("allowNonNumericNumbers", "false")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path)
     )
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("sampleNo").alias("sample_no"), F.col("floatprofdata").alias("values"))
 
@@ -153,13 +154,16 @@ def read_hole_ids(spark: SparkSession, path: str, given: Sequence[str] = ()) ->
     return every.groupBy("hole_id").agg(F.min("position").alias("position"))
 
 
-def read_collar_catalogue(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """Collar points of a GeoJSON feature collection, first per hole, without holes already known."""
+def read_collar_catalogue(spark: SparkSession, path: str, known: DataFrame | None = None, multiline: bool = True) -> DataFrame:
+    """Collar points of GeoJSON feature collections, first per hole, without holes already known.
+
+    With ``multiline=False`` every line is a collection of its own and large inputs split over tasks.
+    """
     schema = (
         "features array<struct<geometry:struct<type:string,coordinates:array<double>>,properties:struct<"
         "feature_role:string,hole:string,elevation_m:double,total_depth_m:double,dip:double,azimuth:double>>>"
     )
-    features = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.posexplode("features").alias("position", "f"))
+    features = spark.read.schema(schema).option("multiLine", str(multiline).lower()).json(path).select(F.posexplode("features").alias("position", "f"))
     p = F.col("f.properties")
     collars = features.where((F.col("f.geometry.type") == "Point") & (p["feature_role"] == "collar")).select(
         F.trim(p["hole"]).alias("hole_id"), "position", F.get("f.geometry.coordinates", F.lit(0)).alias("longitude"),
