@@ -15,7 +15,7 @@ from stratalog.session import maybe_broadcast, settle_table
 
 def release_catalogue(active: DataFrame, members: DataFrame, revisions: DataFrame, boreholes: DataFrame, collars: DataFrame, axes: DataFrame) -> DataFrame:
     """Holes of the active release. The pointer is one row; the other sides broadcast only if counted small."""
-    current = members.join(F.broadcast(active.select("release_id")), "release_id")
+    current = members.join(F.broadcast(active.select("release_id").limit(1)), "release_id")
     joined = (
         current.join(revisions, "dataset_revision_id")
         .join(boreholes, "borehole_id")
