@@ -31,8 +31,9 @@ def measured(value: str | Column) -> Column:
 
 def decimal_close(a: str | Column, b: str | Column, tolerance: str = "0.00001") -> Column:
     """Difference of the decimal texts within a decimal tolerance, free of binary rounding."""
-    exact = lambda c: _c(c).cast("string").cast("decimal(28,10)")
-    return F.abs(exact(a) - exact(b)) <= F.lit(tolerance).cast("decimal(28,10)")
+    exact = lambda c: _c(c).cast("string").try_cast("decimal(28,10)")
+    # beyond what the decimal holds only equality is certain
+    return F.coalesce(F.abs(exact(a) - exact(b)) <= F.lit(tolerance).cast("decimal(28,10)"), _c(a) == _c(b))
 
 
 def same_float32(a: str | Column, b: str | Column) -> Column:

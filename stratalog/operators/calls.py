@@ -59,6 +59,18 @@ def metre_calls(samples: DataFrame, *, key: Sequence[str], depth: str, label: st
     )
 
 
+def interval_bound(samples: DataFrame, *, key: Sequence[str], depth: str, width: float = 1.0) -> tuple[int, int]:
+    """Upper bounds (largest key, all keys) of the intervals ``metre_calls`` can give, from depth ranges alone.
+
+    Reads the key and depth columns only, so a scan over the calls need not be
+    run once just to be counted.
+    """
+    spans = samples.groupBy(*key).agg(F.min(depth).alias("a"), F.max(depth).alias("b")).where("a is not null")
+    n = F.floor(F.col("b") / width) - F.floor(F.col("a") / width) + 1
+    row = spans.agg(F.max(n), F.sum(n)).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
 def overlay_anomalies(metres: DataFrame, anomalies: DataFrame, *, key: Sequence[str]) -> DataFrame:
     """Metres marked with the first anomaly that strictly overlaps them."""
     a = anomalies.select(
@@ -143,7 +155,7 @@ def confidence(calls: DataFrame, rules: Sequence[Rule], available: Sequence[str]
 
 def merge_runs(
     calls: DataFrame, *, key: Sequence[str], lo: str, hi: str, state: Sequence[str],
-    order: Sequence[str] = (), touching: float | None = 1e-6, block: Column | None = None,
+    order: Sequence[str] = (), touching: float | None = 1e-6, block: Column | None = None, sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Neighbouring intervals with equal state become one run (null equals null).
 
@@ -154,7 +166,8 @@ def merge_runs(
     """
     key, state = list(key), list(state)
     previous = F.struct(*[F.col(s) for s in state], F.col(hi).alias("_hi"))
-    sizes = group_sizes(calls, key) if block is None else None
+    if block is None and sizes is None:
+        sizes = group_sizes(calls, key)
     seen = ordered_scan(calls, key, [lo, *order], {"_prev": lag(previous)}, block=block, sizes=sizes)
     same = F.lit(True)
     for s in state:

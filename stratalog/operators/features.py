@@ -208,7 +208,8 @@ def feature_statistics(df: DataFrame, features: str) -> DataFrame:
     """``pos, n, q25, q50, q75, sd_pop`` per array position over the finite values."""
     long = df.select(F.posexplode_outer(features).alias("pos", "x")).where("x is not null and not isnan(x)")
     long = long.where(F.abs(F.col("x")) < float("inf"))
-    quartiles = exact_percentiles(long, ["pos"], "x", [0.25, 0.5, 0.75])
+    # every position has at most one value per row
+    quartiles = exact_percentiles(long, ["pos"], "x", [0.25, 0.5, 0.75], largest=df.count())
     spread = long.groupBy("pos").agg(F.stddev_pop("x").alias("sd_pop"))
     return quartiles.join(spread, "pos").select(
         "pos", "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "sd_pop"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,14 +43,16 @@ def trace_with_calls(points: DataFrame, measurements: DataFrame, *, hole: str =
     )
 
 
-def trace_segments(holes: DataFrame, runs: DataFrame, *, hole: str = "hole_id", label: str = "call", stretch: float = 1.0, block: Column | None = None) -> DataFrame:
+def trace_segments(holes: DataFrame, runs: DataFrame, *, hole: str = "hole_id", label: str = "call", stretch: float = 1.0, block: Column | None = None,
+    sizes: tuple[int, int] | None = None,
+) -> DataFrame:
     """Runs and unlogged gaps down each hole with both end points in space.
 
     Holes without length, dip or azimuth have nothing to draw and are left out.
     """
     drawn = holes.where("drawn_length_m > 0 and inclination_deg is not null and azimuth_deg is not null")
     filled = fill_gaps(
-        runs.select(hole, "from_m", "to_m", label), drawn, key=[hole], lo="from_m", hi="to_m", length="drawn_length_m", block=block
+        runs.select(hole, "from_m", "to_m", label), drawn, key=[hole], lo="from_m", hi="to_m", length="drawn_length_m", block=block, sizes=sizes
     )
     where = ["latitude", "longitude", "elevation_m", "inclination_deg", "azimuth_deg"]
     joined = filled.join(drawn.select(hole, *where), hole)
@@ -83,29 +85,31 @@ def pack_sheets(rows: DataFrame, *, hole: Sequence[str], order: Sequence[str], h
     """
     hole, order = list(hole), list(order)
     largest, _ = group_sizes(rows, hole)
-    if largest <= group_rows(rows.sparkSession):
-        starts_known = _pack_small(rows, hole, order, height, limit)
-    else:
-        starts_known = _pack_large(rows, hole, order, height, limit)
-    return starts_known
+    pack = _pack_small if largest <= group_rows(rows.sparkSession) else _pack_large
+    return pack(rows, hole, order, height, limit)
 
 
 def _pack_small(rows: DataFrame, hole: list[str], order: list[str], height: str, limit: int) -> DataFrame:
-    schema = T.StructType([*rows.schema.fields, T.StructField("sheet_index", T.IntegerType()), T.StructField("y_from_px", T.LongType()), T.StructField("y_to_px", T.LongType())])
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        sheets, tops, sheet, filled = [], [], 0, 0
-        for h in part[height]:
-            if filled and filled + h > limit:
-                sheet, filled = sheet + 1, 0
-            sheets.append(sheet)
-            tops.append(filled)
-            filled += h
-        part = part.assign(sheet_index=sheets, y_from_px=tops)
-        return part.assign(y_to_px=part["y_from_px"] + part[height])
-
-    return rows.groupBy(*hole).applyInPandas(pack, schema)
+    """Holes side by side in sorted partitions; only the open sheet is carried from batch to batch."""
+    schema = T.StructType(
+        [*rows.schema.fields, T.StructField("sheet_index", T.IntegerType()), T.StructField("y_from_px", T.LongType()), T.StructField("y_to_px", T.LongType())]
+    )
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, sheet, filled = None, 0, 0
+        for batch in batches:
+            sheets, tops = [], []
+            for key, h in zip(zip(*[batch[c] for c in hole]), batch[height]):
+                if key != current:
+                    current, sheet, filled = key, 0, 0
+                elif filled + h > limit:
+                    sheet, filled = sheet + 1, 0
+                sheets.append(sheet)
+                tops.append(filled)
+                filled += h
+            yield batch.assign(sheet_index=sheets, y_from_px=tops, y_to_px=[t + h for t, h in zip(tops, batch[height])])
+
+    return rows.repartition(*hole).sortWithinPartitions(*hole, *order).mapInPandas(pack, schema)
 
 
 def _pack_large(rows: DataFrame, hole: list[str], order: list[str], height: str, limit: int) -> DataFrame:

@@ -219,7 +219,8 @@ def numbered_within(df: DataFrame, *, key: Sequence[str], order: Sequence[str],
 
 
 def fill_gaps(
-    runs: DataFrame, extent: DataFrame, *, key: Sequence[str], lo: str, hi: str, length: str, block: Column | None = None
+    runs: DataFrame, extent: DataFrame, *, key: Sequence[str], lo: str, hi: str, length: str, block: Column | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Segments covering 0..length of each key without overlap: clipped runs and the gaps between them.
 
@@ -229,10 +230,14 @@ def fill_gaps(
     key = list(key)
     ext = extent.select(*key, F.col(length).cast("double").alias("_len")).where("_len > 0")
     others = [c for c in runs.columns if c not in {*key, lo, hi}]
-    clipped = ext.join(runs, key, "left").withColumn(hi, F.least(F.col(hi).cast("double"), F.col("_len")))
-    seen = ordered_scan(clipped, key, [lo, hi], {"_reached": before("max", hi), "_next": lead(F.lit(1))}, block=block)
+    clipped = ext.join(runs, key, "left")
+    # least() and greatest() skip nulls: no run may come of a hole
+    # without runs, and a run beyond the end reaches nothing
+    bottom = F.least(F.col(hi).cast("double"), F.col("_len"))
+    clipped = clipped.withColumn(hi, F.when(F.col(hi).isNotNull() & (bottom > F.col(lo)), bottom))
+    seen = ordered_scan(clipped, key, [lo, hi], {"_reached": before("max", hi), "_next": lead(F.lit(1))}, block=block, sizes=sizes)
     reached = F.coalesce("_reached", F.lit(0.0))
-    top = F.greatest(F.col(lo).cast("double"), reached)
+    top = F.when(F.col(hi).isNotNull(), F.greatest(F.col(lo).cast("double"), reached))
     kept = F.coalesce(F.col(hi) > top, F.lit(False))
     end = F.coalesce(F.greatest(reached, F.col(hi)), reached)
     piece = lambda a, b, logged: F.struct(a.alias("lo"), b.alias("hi"), F.lit(logged).alias("logged"))

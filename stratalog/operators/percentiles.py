@@ -19,13 +19,17 @@ from stratalog.session import group_rows, group_sizes, maybe_broadcast
 
 
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], *, accuracy: int | None = None
+    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], *, accuracy: int | None = None, largest: int | None = None
 ) -> DataFrame:
-    """``by`` columns, ``n`` and ``q`` (array<double>, one per probability); nulls and NaN are skipped."""
+    """``by`` columns, ``n`` and ``q`` (array<double>, one per probability); nulls and NaN are skipped.
+
+    ``largest`` passes on an upper bound of the rows of a group where the caller has one.
+    """
     by, probabilities = list(by), [float(p) for p in probabilities]
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     clean = clean.select(*by, F.col(value).cast("double").alias("_x"))
-    largest, _ = group_sizes(clean, by)
+    if largest is None:
+        largest, _ = group_sizes(clean, by)
     if largest <= group_rows(df.sparkSession):
         exact = F.percentile("_x", F.array(*[F.lit(p) for p in probabilities]))
         return clean.groupBy(*by).agg(F.count("_x").alias("n"), exact.alias("q"))

@@ -42,8 +42,11 @@ def dominant_daily_call(spark, folder):
 def daily_runs(spark, folder):
     state = F.when((F.col("quality_flag") == "ok") & (F.col("confidence") >= 0.4), F.col("call"))
     metres = daily(spark, folder).withColumn("call", state)
-    # intervals are unique per hole and day: a block of 1024 of them bounds a task
-    return calls.merge_runs(metres, key=["hole"], lo="depth_from_m", hi="depth_to_m", state=["call"], block=F.floor(F.col("depth_from_m") / (DAY * 1024)))
+    return calls.merge_runs(metres, key=["hole"], lo="depth_from_m", hi="depth_to_m", state=["call"], sizes=days_bound(spark, folder))
+
+
+def days_bound(spark, folder):
+    return calls.interval_bound(readings(spark, folder), key=["hole"], depth="depth_h", width=DAY)
 
 
 DAILY_RUNS_SQL = f"""{DAILY_SQL},
@@ -89,7 +92,7 @@ def logged_and_unlogged_segments(spark, folder):
     runs = daily_runs(spark, folder).select("hole", "depth_from_m", "depth_to_m", "call")
     extent = readings(spark, folder).select("hole").distinct().withColumn("length", F.lit(LENGTH_H))
     return intervals.fill_gaps(
-        runs, extent, key=["hole"], lo="depth_from_m", hi="depth_to_m", length="length", block=F.floor(F.col("depth_from_m") / (DAY * 1024))
+        runs, extent, key=["hole"], lo="depth_from_m", hi="depth_to_m", length="length", sizes=days_bound(spark, folder)
     ).select("hole", "depth_from_m", "depth_to_m", "call", "logged")
 
 
@@ -177,7 +180,7 @@ def confidence_runs(spark, folder):
         "hole", F.col("depth").alias("depth_from_m"), (F.col("depth") + DAY).alias("depth_to_m"), "conf_class", calls.reason_bits("why", [r.reason for r in rules]).alias("bits")
     )
     return calls.merge_runs(
-        stated, key=["hole"], lo="depth_from_m", hi="depth_to_m", state=["conf_class", "bits"], block=F.floor(F.col("depth_from_m") / (DAY * 1024))
+        stated, key=["hole"], lo="depth_from_m", hi="depth_to_m", state=["conf_class", "bits"], sizes=days_bound(spark, folder)
     ).select("hole", "conf_class", "bits", "depth_from_m", "depth_to_m", "n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import fixed, geo, hashing, numbers, text
 from stratalog.operators import align, geometry, intervals, neighbours, paging, profiles, relations
-from stratalog.plans.call_queries import DAILY_RUNS_SQL, DAILY_SQL, daily, daily_runs
+from stratalog.plans.call_queries import DAILY_RUNS_SQL, DAILY_SQL, daily, daily_runs, days_bound
 from stratalog.plans.registry import query
 from stratalog.plans.views import MEMBERS_SQL, SCAN_SQL, SITES_SQL, km_sql, members, sample_block, scan, sites, spectra
 from stratalog.session import table
@@ -313,7 +313,7 @@ def trace_segments_in_space(spark, folder):
     holes = sites(spark, folder).join(with_runs, "hole_id", "left_semi").withColumns(
         {"inclination_deg": F.lit(-60.0), "azimuth_deg": F.lit(45.0), "elevation_m": F.lit(None).cast("double"), "drawn_length_m": F.lit(720.0)}
     )
-    found = geometry.trace_segments(holes, runs, block=F.floor(F.col("from_m") / (24.0 * 1024)))
+    found = geometry.trace_segments(holes, runs, sizes=days_bound(spark, folder))
     return found.select(
         F.col("hole_id").alias("hole"), "from_m", "to_m", "label", F.round("end.lon", 7).alias("end_lon"), F.round("end.lat", 7).alias("end_lat"), F.round("end.altitude_m", 5).alias("end_altitude")
     )

@@ -10,7 +10,7 @@ from stratalog.operators.lof import local_outlier_factor
 from stratalog.operators.neighbours import most_similar, nearest_sites
 from stratalog.plans.registry import query
 from stratalog.plans.views import READINGS_SQL, SITES_SQL, km_sql, readings, sites, spectra
-from stratalog.session import table
+from stratalog.session import settle_table, table
 
 BIN_H = 120.0
 LABELS = ["click", "error", "purchase", "signup", "view"]
@@ -98,8 +98,9 @@ normed AS (
 
 def scaled_table(spark, folder):
     table_, spec = binned(spark, folder)
+    table_ = settle_table(table_, "bins")
     spec = features.fit_scaling(table_, spec)
-    vector = table_.withColumn("scaled", features.scaled(spec))
+    vector = settle_table(table_.withColumn("scaled", features.scaled(spec)), "scaled")
     return vector.withColumns({"robust_distance": features.robust_norm("scaled"), "max_z": features.largest_abs("scaled")}), spec
 
 
