@@ -6,6 +6,7 @@ Every interval states its bounds: ``closed`` means both ends belong to it,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,10 +19,14 @@ from stratalog.session import maybe_broadcast
 HALF_OPEN, CLOSED = "half_open", "closed"
 
 
-def _levels(intervals: DataFrame, lo: str, hi: str, unit: float) -> tuple[Column, list[int]]:
-    """Doubling length class of an interval, and the classes that occur (at most 64 or so)."""
-    length = F.greatest((F.col(hi) - F.col(lo)).cast("double"), F.lit(unit))
-    level = F.ceil(F.log2(length / unit)).cast("int")
+# shortest bucket, and the factor between neighbouring length classes
+SHORTEST, FACTOR = 2.0**-20, 4.0
+
+
+def _levels(intervals: DataFrame, lo: str, hi: str) -> tuple[Column, list[int]]:
+    """Length class of an interval, and the classes that occur (a few dozen at most)."""
+    length = F.greatest((F.col(hi) - F.col(lo)).cast("double"), F.lit(SHORTEST))
+    level = F.ceil(F.log2(length / SHORTEST) / math.log2(FACTOR) - 1e-9).cast("int")
     present = [r[0] for r in intervals.select(level.alias("l")).distinct().collect() if r[0] is not None]
     return level, sorted(present)
 
@@ -35,8 +40,6 @@ def covering(
     lo: str,
     hi: str,
     bounds: str = CLOSED,
-    width: float | None = None,
-    unit: float = 1.0,
 ) -> DataFrame:
     """Points joined to the intervals of the same key that cover them.
 
@@ -45,14 +48,11 @@ def covering(
     buckets of its own length class, so long and short intervals mix without
     blowing up; the join itself is an equi-join on (key, class, bucket), which
     spreads a heavy key over its depth and lets AQE split what is still heavy.
-    ``width`` fixes one class where all intervals are known to be that short.
     """
     key = list(key)
-    if width is not None:
-        level, present, size = F.lit(0), [0], F.lit(float(width))
-    else:
-        level, present = _levels(intervals, lo, hi, unit)
-        size = F.lit(float(unit)) * F.pow(F.lit(2.0), F.col("_lv"))
+    level, present = _levels(intervals, lo, hi)
+    # the slack of the class may make a bucket a trifle shorter than its interval: a third bucket then
+    size = F.lit(SHORTEST) * F.pow(F.lit(FACTOR), F.col("_lv"))
     present = present or [0]
 
     bucket = lambda c: F.floor(F.col(c).cast("double") / size)
@@ -85,13 +85,11 @@ def first_cover(
     hi: str,
     pick: Sequence[str],
     bounds: str = HALF_OPEN,
-    width: float | None = None,
-    unit: float = 1.0,
 ) -> DataFrame:
     """One row per point: the covering interval that is first in ``pick`` order, nulls where none covers."""
     added = [c for c in intervals.columns if c not in key]
     found = covering(
-        points, intervals, key=key, at=at, lo=lo, hi=hi, bounds=bounds, width=width, unit=unit
+        points, intervals, key=key, at=at, lo=lo, hi=hi, bounds=bounds
     ).groupBy(*point_key).agg(F.min_by(F.struct(*added), F.struct(*pick)).alias("_m"))
     renamed = [f"_p_{c}" for c in point_key]
     side = found.select(*[F.col(c).alias(r) for c, r in zip(point_key, renamed)], "_m")
@@ -109,7 +107,6 @@ def overlapping(
     left_bounds: tuple[str, str],
     right_bounds: tuple[str, str],
     bounds: str = HALF_OPEN,
-    unit: float = 1.0,
 ) -> DataFrame:
     """Pairs of overlapping intervals of one key, each pair once.
 
@@ -118,8 +115,8 @@ def overlapping(
     """
     (la, lb), (ra, rb) = left_bounds, right_bounds
     columns = [*left.columns, *[c for c in right.columns if c not in key]]
-    first = covering(left, right, key=key, at=la, lo=ra, hi=rb, bounds=bounds, unit=unit)
-    second = covering(right, left, key=key, at=ra, lo=la, hi=lb, bounds=bounds, unit=unit)
+    first = covering(left, right, key=key, at=la, lo=ra, hi=rb, bounds=bounds)
+    second = covering(right, left, key=key, at=ra, lo=la, hi=lb, bounds=bounds)
     return first.select(*columns).unionByName(second.where(F.col(ra) > F.col(la)).select(*columns))
 
 

@@ -198,11 +198,13 @@ def _by_block(df: DataFrame, key: list[str], order: list[str], outputs: Mapping[
 def top_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The ``k`` first rows of each key under ``order``, exact for any key size.
 
-    Two levels: the k first of every (key, salt), then the k first of those, so
-    a heavy key is cut down in parallel before its rows meet.
+    For a small ``k`` Spark cuts every partition down to k rows per key before
+    the shuffle (WindowGroupLimit). Beyond its threshold the cut is made over
+    salted keys first.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(64)) if df.columns else F.lit(0)
-    first = W.partitionBy(*key, "_salt").orderBy(*order)
-    second = W.partitionBy(*key).orderBy(*order)
-    cut = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
-    return cut.withColumn("_r", F.row_number().over(second)).where(F.col("_r") <= k).drop("_salt", "_r")
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > limit:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(1024))
+        salted = W.partitionBy(*key, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k).drop("_salt", "_r")
+    return df.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("_r") <= k).drop("_r")

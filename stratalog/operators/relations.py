@@ -130,10 +130,16 @@ def match_profiles(minima: DataFrame, references: DataFrame, *, hole: Sequence[s
     length and every sample agrees; a dataset counts when exactly one profile
     matches all its references.
     """
-    lengths = lambda df, ident: df.groupBy(*hole, *ident).agg(F.count(F.lit(1)).alias("n"))
-    p = minima.join(lengths(minima, ["profile_id"]), [*hole, "profile_id"])
-    r = references.join(lengths(references, ["dataset_id", "log_id"]), [*hole, "dataset_id", "log_id"])
-    pairs = p.join(r, [*hole, "n", "sample_no"])
+    # logs first: two logs can only agree everywhere if their lengths are equal and their sums are close
+    facts = lambda df, ident, value: df.groupBy(*hole, *ident).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("_t"))
+    reach = F.col("n") * tolerance * 1.01 + 1e-6
+    place = F.floor(F.col("_t") / reach)
+    left = facts(minima, ["profile_id"], "positive_min").withColumn("_b", place)
+    right = facts(references, ["dataset_id", "log_id"], "value").withColumn("_b", F.explode(F.sequence(place - 1, place + 1)))
+    right = right.withColumnRenamed("_t", "_u")
+    candidates = left.join(right, [*hole, "n", "_b"]).where(F.abs(F.col("_t") - F.col("_u")) <= reach)
+    candidates = candidates.select(*hole, "n", "profile_id", "dataset_id", "log_id")
+    pairs = candidates.join(minima, [*hole, "profile_id"]).join(references, [*hole, "dataset_id", "log_id", "sample_no"])
     close = F.abs(F.col("positive_min") - F.col("value")) <= tolerance
     agreed = pairs.groupBy(*hole, "n", "profile_id", "dataset_id", "log_id").agg(F.count_if(close).alias("matched"))
     per_dataset = agreed.groupBy(*hole, "profile_id", "dataset_id").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import fixed
 from stratalog.functions.geo import great_circle_km
 from stratalog.functions.text import decode_path_name, file_name
+from stratalog.operators.neighbours import within_radius
 from stratalog.operators.ordered import number, ordered_scan
 from stratalog.operators.relations import set_difference
 
@@ -166,18 +167,18 @@ def own_datasets(datasets: DataFrame, holes: DataFrame, km: float = fixed.SAME_H
 
     Those named after the hole and those within ``km`` of a named one's collar;
     without a named one the only dataset, else those near the hole's collar.
-    Named collars are few per hole, the rest is compared with each of them.
+    Collars are compared within grid cells of their hole, never all with all.
     """
     named = datasets.where(F.col("dataset_name") == F.col("hole_id"))
     sizes = datasets.groupBy("hole_id").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("dataset_name") == F.col("hole_id")).alias("_named")
     )
-    anchors = named.select("hole_id", F.col("latitude").alias("_alat"), F.col("longitude").alias("_alon")).where("_alat is not null").distinct()
-    fallback = holes.select("hole_id", F.col("latitude").alias("_alat"), F.col("longitude").alias("_alon"))
+    anchor = lambda df: df.select("hole_id", F.col("latitude").alias("at_lat"), F.col("longitude").alias("at_lon")).where("at_lat is not null")
+    anchors, fallback = anchor(named).distinct(), anchor(holes)
     fallback = fallback.join(sizes.where("_named = 0").select("hole_id"), "hole_id", "left_semi")
-    all_anchors = anchors.unionByName(fallback)
-    gap = great_circle_km("latitude", "longitude", "_alat", "_alon", fixed.EARTH_RADIUS_KM_ROUND)
-    near = datasets.join(all_anchors, "hole_id").where(gap <= km).select("hole_id", "dataset_id").distinct()
+    collars = datasets.select("hole_id", "dataset_id", "latitude", "longitude").where("latitude is not null and longitude is not null")
+    found = within_radius(anchors.unionByName(fallback), collars, km, radius=fixed.EARTH_RADIUS_KM_ROUND, key=["hole_id"])
+    near = found.select("hole_id", "dataset_id").distinct()
     joined = datasets.join(sizes, "hole_id").join(near.withColumn("_near", F.lit(True)), ["hole_id", "dataset_id"], "left")
     only = (F.col("_named") == 0) & (F.col("_n") == 1)
     own = (F.col("dataset_name") == F.col("hole_id")) | only | F.coalesce("_near", F.lit(False))

@@ -258,25 +258,24 @@ def header_collars(spark, folder):
 def membership_collections(spark, folder):
     """Dataset-collection XML written from orders and read back as dataset-log rows."""
     path = scratch(spark, "collections")
-    part = lambda even, tag, inner, ident: F.concat(
-        F.lit(f"<{tag}>"), F.array_join(F.transform(F.filter("ids", lambda i: (i % 2 == 0) == F.lit(even)), lambda i: F.concat(F.lit(f"<{inner}><{ident}>"), i.cast("string"), F.lit(f"</{ident}></{inner}>"))), ""), F.lit(f"</{tag}>")
+    log = F.col("o_orderkey").cast("string")
+    listed = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<Logs><Log><LogID>"), log, F.lit("</LogID></Log></Logs>"))).otherwise(
+        F.concat(F.lit("<SpectralLogs><SpectralLog><logID>"), log, F.lit("</logID></SpectralLog></SpectralLogs>"))
     )
-    # one collection per customer: a handful of orders each
-    grouped = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("ids"))
-    body = F.concat(F.lit("<Dataset><DatasetID>"), F.col("o_custkey").cast("string"), F.lit("</DatasetID>"), part(True, "Logs", "Log", "LogID"), part(False, "SpectralLogs", "SpectralLog", "logID"), F.lit("</Dataset>"))
-    grouped.select(body.alias("value")).write.text(path)
+    body = F.concat(F.lit("<Dataset><DatasetID>"), F.col("o_custkey").cast("string"), F.lit("</DatasetID>"), listed, F.lit("</Dataset>"))
+    table(spark, folder, "orders").select(body.alias("value")).write.text(path)
     found = documents.read_membership(spark, path, multiline=False)
     return found.select(F.col("dataset_id").cast("long").alias("dataset_id"), F.col("log_id").cast("long").alias("log_id"), "kind")
 
 
 @query("collar_catalogue", f"""WITH {SITES_SQL} SELECT CAST(hole_id AS VARCHAR) AS hole_id, round(longitude, 6) AS longitude, CAST(-90.0 AS DOUBLE) AS inclination_deg FROM sites WHERE hole_id % 3 = 1 AND hole_id % 2 = 1""")
 def collar_catalogue(spark, folder):
-    """GeoJSON collections, one per nation, of collars and other points; holes already known are left out."""
+    """GeoJSON collections, one per line, of collars and other points; holes already known are left out."""
     path = scratch(spark, "geojson")
     s = sites(spark, folder)
     role = F.when(F.col("hole_id") % 3 == 1, "collar").otherwise("toe")
     feature = F.struct(F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"), F.struct(role.alias("feature_role"), F.col("hole_id").cast("string").alias("hole")).alias("properties"))
-    s.groupBy((F.col("hole_id") % 97).alias("g")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).select("value").write.text(path)
+    s.select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("value")).write.text(path)
     known = s.where("hole_id % 2 = 0").select(F.col("hole_id").cast("string").alias("hole_id"))
     found = logs.read_collar_catalogue(spark, path, known, multiline=False)
     return found.select("hole_id", F.round("longitude", 6).alias("longitude"), "inclination_deg")
