@@ -37,7 +37,9 @@ def exact_percentiles(
 
 
 def _bracketed(clean: DataFrame, by: list[str], probabilities: list[float], accuracy: int) -> DataFrame:
-    step = 2.0 / accuracy
+    # the sketch is off by at most n / accuracy ranks; four times that leaves room for the
+    # rounding of ranks once a group has ``accuracy`` rows, and smaller groups keep all theirs
+    step = 4.0 / accuracy
     asked = []
     for p in probabilities:
         asked += [max(p - step, 0.0), min(p + step, 1.0)]
@@ -49,8 +51,9 @@ def _bracketed(clean: DataFrame, by: list[str], probabilities: list[float], accu
     )
     brackets = []
     for i, p in enumerate(probabilities):
-        low = F.col("_min") if p - step <= 0 else F.get("_b", F.lit(2 * i))
-        high = F.col("_max") if p + step >= 1 else F.get("_b", F.lit(2 * i + 1))
+        few = F.col("n") < accuracy
+        low = F.col("_min") if p - step <= 0 else F.when(few, F.col("_min")).otherwise(F.get("_b", F.lit(2 * i)))
+        high = F.col("_max") if p + step >= 1 else F.when(few, F.col("_max")).otherwise(F.get("_b", F.lit(2 * i + 1)))
         brackets.append(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), low.alias("lo"), high.alias("hi")))
     wanted = sketch.select(*by, "n", F.array(*brackets).alias("_brackets"))
 

@@ -43,6 +43,9 @@ def main() -> int:
     wanted = sys.argv[2:]
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("CHECK_GROUP_ROWS"):
+        # force the ways for heavy keys
+        spark.conf.set("stratalog.groupRows", os.environ["CHECK_GROUP_ROWS"])
     connection = duckdb.connect()
     connection.execute("SET TimeZone = 'UTC'")
     for name in TABLES:

@@ -64,7 +64,7 @@ def test_top_per_key_is_exact(table):
     assert rows(best, "k", "i", "x") == wanted
 
 
-@pytest.mark.parametrize("accuracy", [20, 200])
+@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
 def test_percentiles_match_numpy(spark, small_groups, accuracy):
     rng = np.random.default_rng(5)
     # a third of the values are one and the same
