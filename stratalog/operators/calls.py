@@ -12,7 +12,7 @@ from stratalog.functions import fixed
 from stratalog.functions.text import group_label
 from stratalog.operators.intervals import HALF_OPEN, covering, overlapping
 from stratalog.operators.ordered import lag, number, ordered_scan, upto
-from stratalog.operators.percentiles import exact_percentiles
+from stratalog.operators.percentiles import exact_medians
 from stratalog.session import group_sizes
 
 
@@ -20,10 +20,12 @@ def dominant(df: DataFrame, *, by: Sequence[str], label: str, order: Sequence[st
     """Most frequent label per group, the first seen in ``order`` on a tie.
 
     Null labels count towards ``n_all`` only. Counts are combined map-side per
-    (group, label), so the shuffle carries distinct labels, not samples.
+    (group, label), so the shuffle carries distinct labels, not samples. With a
+    single numeric order column this first step is a hash aggregation.
     """
     by = list(by)
-    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(*order)).alias("_first"))
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_c"), F.min(place).alias("_first"))
     named = F.col(label).isNotNull()
     # a tie goes to the smaller first position: compare (-count, first) and take the minimum
     pick = F.when(named, F.struct((-F.col("_c")).alias("neg"), F.col("_first").alias("first")))
@@ -108,9 +110,8 @@ def metre_summary(
         (F.col("n_valid") / F.col("n_all")).alias("coverage"),
         F.col("share_of_valid").alias("agreement"),
     )
-    for column in quality:
-        medians = exact_percentiles(binned.where(F.col("_m").isNotNull()), key, column, [0.5])
-        summary = summary.join(medians.select(*key, F.col("q")[0].alias(column)), key, "left")
+    if quality:
+        summary = summary.join(exact_medians(binned.where(F.col("_m").isNotNull()), key, quality), key, "left")
     return summary
 
 
@@ -225,11 +226,12 @@ def interval_calls(samples: DataFrame, intervals: DataFrame, *, key: Sequence[st
         intervals.select(*key, ident, F.col("sample_no_from").alias("_f"), F.col("sample_no_to").alias("_t")),
         key=key, at=sample, lo="_f", hi="_t",
     )
-    result = intervals
-    for label in labels:
-        best = dominant(found, by=[*key, ident], label=label, order=[sample]).select(*key, ident, label)
-        result = result.join(best, [*key, ident], "left")
-    return result
+    # all label columns side by side as rows: one join and one aggregation whatever their number
+    entries = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("label")) for name in labels])
+    long = found.select(*key, ident, sample, F.explode_outer(entries).alias("_e")).select(*key, ident, sample, "_e.name", "_e.label")
+    best = dominant(long, by=[*key, ident, "name"], label="label", order=[sample])
+    wide = best.groupBy(*key, ident).agg(*[F.max(F.when(F.col("name") == name, F.col("label"))).alias(name) for name in labels])
+    return intervals.join(wide, [*key, ident], "left")
 
 
 def choose_log_copy(logs: DataFrame, bands: DataFrame, *, key: Sequence[str]) -> DataFrame:

@@ -36,6 +36,18 @@ def exact_percentiles(
     return _bracketed(clean, by, probabilities, accuracy or max(10_000, largest // 200_000))
 
 
+def exact_medians(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``by`` columns and the median of every value column, nulls skipped; one pass while groups are small."""
+    by, values = list(by), list(values)
+    largest, _ = group_sizes(df, by)
+    if largest <= group_rows(df.sparkSession):
+        return df.groupBy(*by).agg(*[F.percentile(F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double")), F.lit(0.5)).alias(v) for v in values])
+    entries = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("x")) for v in values])
+    long = df.select(*by, F.explode_outer(entries).alias("_e")).select(*by, "_e.name", "_e.x")
+    found = exact_percentiles(long, [*by, "name"], "x", [0.5], largest=largest)
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == v, F.col("q")[0])).alias(v) for v in values])
+
+
 def _bracketed(clean: DataFrame, by: list[str], probabilities: list[float], accuracy: int) -> DataFrame:
     # the sketch is off by at most n / accuracy ranks; four times that leaves room for the
     # rounding of ranks once a group has ``accuracy`` rows, and smaller groups keep all theirs

@@ -26,7 +26,7 @@ daily AS (
 
 def daily(spark, folder):
     samples = readings(spark, folder).withColumn("call", group_label("call"))
-    return calls.metre_calls(samples, key=["hole"], depth="depth_h", label="call", order=["us", "event_id"], width=DAY)
+    return calls.metre_calls(samples, key=["hole"], depth="depth_h", label="call", order=["seq"], width=DAY)
 
 
 @query(
@@ -117,7 +117,7 @@ def daily_reading_summary(spark, folder):
 def _summary(spark, folder):
     samples = readings(spark, folder).withColumns({"wt": F.col("value"), "snr": F.col("k").cast("double")})
     return calls.metre_summary(
-        samples, key=["hole"], depth="depth_h", mineral="call", order=["us", "event_id"], quality=["wt", "snr"], width=DAY
+        samples, key=["hole"], depth="depth_h", mineral="call", order=["seq"], quality=["wt", "snr"], width=DAY
     )
 
 

@@ -21,11 +21,15 @@ SAMPLE_BLOCK = 65_536
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
-    """events as readings: hole, event_id, us, depth_h, call, event_type, value, k."""
+    """events as readings: hole, event_id, us, seq, depth_h, call, event_type, value, k.
+
+    ``seq`` is time and event id in one exact number: the order of readings.
+    """
     events = table(spark, folder, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return events.select(
-        F.col("user_id").alias("hole"), "event_id", us.alias("us"), ((us - START_US) / 3.6e9).alias("depth_h"),
+        F.col("user_id").alias("hole"), "event_id", us.alias("us"),
+        (us.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("event_id").cast("decimal(19,0)")).cast("decimal(38,0)").alias("seq"), ((us - START_US) / 3.6e9).alias("depth_h"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("call"), "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
