@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.operators import align, quality, relations, routing
+from stratalog.operators import align, profiles, quality, relations, routing
 from stratalog.plans.call_queries import DAILY_SQL
 from stratalog.plans.registry import query
 from stratalog.plans.views import READINGS_SQL, SCAN_SQL, SITES_SQL, intervals as ranges, readings, scan, sites, spectra
-from stratalog.session import scratch, table
+from stratalog.session import scratch, settle_table, table
 from stratalog.sources import documents, files, logs, sinks
 from stratalog.streaming import ingest
 
@@ -70,6 +70,25 @@ def canonical_scalar_values(spark, folder):
     return stored.select(F.col("log").cast("long").alias("log"), "sample_no", "value_text", "value_raw")
 
 
+@query(
+    "prepared_logs",
+    f"""WITH {SCALARS_SQL}, seen AS (SELECT *, lag(event_id) OVER (PARTITION BY log ORDER BY source_row) AS p FROM rows)
+SELECT log, count(*) AS row_count, CAST(count_if(token IN ('', 'null')) AS BIGINT) AS null_count, count(*) AS point_count, CAST(min(event_id) AS DOUBLE) AS coordinate_min, CAST(max(event_id) AS DOUBLE) AS coordinate_max,
+ CAST(count_if(event_id < p) AS BIGINT) AS decreasing_start_count, CAST(ceil(count(*) / 4096) AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS stored_differently FROM seen GROUP BY 1""",
+)
+def prepared_logs(spark, folder):
+    """A whole preparation: read raw CSV logs, profile them, write typed Parquet, read it back and compare, index the chunks."""
+    rows = settle_table(logs.read_scalar_log(spark, _scalar_files(spark, folder)).withColumn("log", _log_of()).drop("path"), "raw")
+    profile = profiles.scalar_profile(rows, log=["log"], numeric=F.lit(False), block=F.floor(F.col("source_row") / 65536))
+    typed = align.typed_values(rows, interval=False, numeric=False)
+    target = scratch(spark, "prepared")
+    sinks.write_canonical(typed, target, partitions=["log"], order="source_row")
+    differing = sinks.read_back_difference(typed, target).groupBy("log").agg(F.count(F.lit(1)).alias("_d"))
+    chunks = sinks.chunk_index(spark.read.parquet(target), log=["log"], row="source_row", coordinate="depth_m").groupBy("log").agg(F.count(F.lit(1)).alias("chunks"))
+    joined = profile.join(chunks, "log").join(differing, "log", "left").withColumn("stored_differently", F.coalesce("_d", F.lit(0)))
+    return joined.select("log", "row_count", "null_count", "point_count", "coordinate_min", "coordinate_max", "decreasing_start_count", "chunks", "stored_differently")
+
+
 @query("canonical_read_back", "SELECT o_orderkey, o_totalprice, o_orderstatus, CAST(0 AS BIGINT) AS surplus FROM orders WHERE FALSE")
 def canonical_read_back(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("o_orderstatus"))
@@ -198,6 +217,23 @@ def exported_and_imported(spark, folder):
     return sinks.import_table(spark, target, schema, expected).drop("o_custkey")
 
 
+@query("written_anomalies", f"WITH {READINGS_SQL} SELECT CAST(hole AS VARCHAR) AS hole_id, count(DISTINCT floor(depth_h / 120)) AS n, count(DISTINCT floor(depth_h / 120)) AS lines FROM readings GROUP BY 1")
+def written_anomalies(spark, folder):
+    """Interval scores written as Parquet and JSON lines per hole, read back and counted."""
+    from stratalog.plans.score_queries import scaled_table
+
+    target = scratch(spark, "anomalies")
+    scored, _ = scaled_table(spark, folder)
+    intervals = scored.select(F.col("hole").cast("string").alias("hole_id"), "depth_from_m", "depth_to_m", "robust_distance", "max_z")
+    holes = intervals.groupBy("hole_id").agg(F.max("max_z").alias("max_z"))
+    sinks.write_anomalies(intervals, holes, target)
+    keyed = "hole_id string"
+    table_ = spark.read.parquet(f"{target}/anomalies").select(F.col("hole_id").cast("string").alias("hole_id"))
+    lines = spark.read.schema(f"depth_from_m double, {keyed}").json(f"{target}/anomalies_json")
+    count = lambda df, name: df.groupBy("hole_id").agg(F.count(F.lit(1)).alias(name))
+    return count(table_, "n").join(count(lines, "lines"), "hole_id")
+
+
 @query("replaced_measurements", "SELECT o_orderkey, o_custkey AS hole_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")
 def replaced_measurements(spark, folder):
     target = scratch(spark, "replaced")

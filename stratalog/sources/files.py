@@ -25,6 +25,16 @@ def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> Dat
     )
 
 
+def tasks_for(files: DataFrame, bytes_per_task: int) -> int:
+    """Number of tasks for work that follows file bytes.
+
+    Rows that only name files are tiny, so adaptive execution would merge them
+    into a single task; the count is therefore fixed from the listed sizes.
+    """
+    total = files.agg(F.sum("size")).first()[0] or 0
+    return int(max(files.sparkSession.sparkContext.defaultParallelism * 2, min(total // bytes_per_task, 200_000)))
+
+
 def file_system(path: str):
     """(Arrow file system, inner path) of a path as Spark lists it: unescaped, with or without scheme."""
     from pyarrow import fs
@@ -58,7 +68,7 @@ def inventory(spark: SparkSession, folder: str, glob: str | None = None) -> Data
             yield batch.assign(sha256=hashes)
 
     files = list_files(spark, folder, glob)
-    spread = files.repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    spread = files.repartition(tasks_for(files, 512 * 1024 * 1024), "path")
     return spread.mapInPandas(digest, "path string, relative_path string, size long, sha256 string")
 
 
@@ -76,7 +86,9 @@ def first_lines(files: DataFrame) -> DataFrame:
                 lines.append(data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"))
             yield pd.DataFrame({"path": batch["path"], "line": lines})
 
-    return files.select("path").repartition("path").mapInPandas(head, "path string, line string")
+    # only heads are read: many files per task
+    spread = files.select("path").repartition(tasks_for(files, 4 * 1024 * 1024 * 1024), "path")
+    return spread.mapInPandas(head, "path string, line string")
 
 
 def read_spectra(files: DataFrame, *, rows_per_block: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
@@ -109,7 +121,7 @@ def read_spectra(files: DataFrame, *, rows_per_block: int = 4096, keep: Sequence
                     part[name] = shard[name]
                 yield part[names]
 
-    spread = files.sparkSession.sparkContext.defaultParallelism * 4
+    spread = tasks_for(whole, 128 * 1024 * 1024)
     return shards.drop("_rows").repartition(spread, "path", "_start").mapInPandas(decode, schema)
 
 
