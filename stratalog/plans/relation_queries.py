@@ -471,7 +471,15 @@ def image_row_depths(spark, folder):
     return geometry.row_depths(rows, tray=["o_custkey"], order="o_orderkey", length="len").select("o_custkey", "o_orderkey", "depth_from_m", "depth_to_m")
 
 
-@query("packed_sheets")
+@query(
+    "packed_sheets",
+    """WITH RECURSIVE r AS (SELECT o_custkey AS h, o_orderkey AS k, o_orderkey % 300 + 20 AS px, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+s AS (
+  SELECT h, k, n, px, 0 AS sheet, CAST(0 AS BIGINT) AS y FROM r WHERE n = 1
+  UNION ALL SELECT r.h, r.k, r.n, r.px, CASE WHEN s.y + s.px + r.px > 1000 THEN s.sheet + 1 ELSE s.sheet END, CASE WHEN s.y + s.px + r.px > 1000 THEN 0 ELSE s.y + s.px END
+  FROM s JOIN r ON r.h = s.h AND r.n = s.n + 1)
+SELECT h AS hole_id, k AS o_orderkey, px AS height_px, sheet AS sheet_index, y AS y_from_px, y + px AS y_to_px FROM s""",
+)
 def packed_sheets(spark, folder):
     rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("hole_id"), "o_orderkey", (F.col("o_orderkey") % 300 + 20).cast("long").alias("height_px"))
     return geometry.pack_sheets(rows, hole=["hole_id"], order=["o_orderkey"], height="height_px", limit=1000)

@@ -255,7 +255,16 @@ def isolation_forest_scores(spark, folder):
     return vectors.select("vec_id", F.round(forest.score("v", model, spark), 6).alias("isolation_score"))
 
 
-@query("local_outlier_factors")
+@query(
+    "local_outlier_factors",
+    """WITH p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM p), n AS (SELECT * FROM r WHERE k <= 20),
+kd AS (SELECT a, max(d) AS kd FROM n GROUP BY 1),
+lrd AS (SELECT n.a, 1 / (avg(greatest(kd.kd, n.d)) + 1e-10) AS lrd FROM n JOIN kd ON kd.a = n.b GROUP BY 1)
+SELECT n.a AS vec_id, round(avg(y.lrd) / max(x.lrd), 6) AS lof_score FROM n JOIN lrd y ON y.a = n.b JOIN lrd x ON x.a = n.a GROUP BY 1""",
+)
 def local_outlier_factors(spark, folder):
     vectors = spectra(spark, folder).select("vec_id", F.col("values").cast("array<double>").alias("v"))
     return local_outlier_factor(vectors, "vec_id", "v", 20).withColumn("lof_score", F.round("lof_score", 6))
