@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from stratalog.operators import align, profiles, quality, relations, routing
 from stratalog.plans.call_queries import DAILY_SQL
 from stratalog.plans.registry import query
-from stratalog.plans.views import READINGS_SQL, SCAN_SQL, SITES_SQL, intervals as ranges, readings, scan, sites, spectra
+from stratalog.plans.views import READINGS_SQL, SCAN_SQL, SITES_SQL, instant, intervals as ranges, readings, scan, sites, spectra
 from stratalog.session import scratch, settle_table, table
 from stratalog.sources import documents, files, logs, sinks
 from stratalog.streaming import ingest
@@ -362,7 +362,7 @@ def _event_stream(spark, folder):
 )
 def streamed_daily_calls(spark, folder):
     """Running counts kept by a stream over events; the call is taken from them on read."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = F.unix_micros(instant("ts"))
     samples = _event_stream(spark, folder).select(
         F.col("user_id").alias("hole"), ((us - 1704067200000000) / 3.6e9).alias("depth_h"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("call"), (us * 1000 + F.col("event_id") % 1000).alias("at")
     )
@@ -376,12 +376,13 @@ def streamed_daily_calls(spark, folder):
 @query("streamed_window_counts", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) FROM events) - 1 GROUP BY 1, 2")
 def streamed_window_counts(spark, folder):
     """Tumbling day windows with a watermark; windows the watermark has closed."""
-    events = _event_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = _event_stream(spark, folder).withColumn("ts", instant("ts"))
     counted = ingest.windowed_counts(events, time="ts", label="event_type")
     name = "windows_" + scratch(spark, "s").rsplit("-", 1)[1]
     closed = ingest.drain(counted, name, "append", scratch(spark, "stream"))
     last = table(spark, folder, "events").agg(F.max(F.col("ts").cast("date")).alias("m")).first()["m"]
-    return closed.select(F.col("window_start").cast("date").alias("day"), "event_type", "n").where(F.col("day") < F.date_sub(F.lit(last), 1))
+    day = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz")).cast("date")
+    return closed.select(day.alias("day"), "event_type", "n").where(F.col("day") < F.date_sub(F.lit(last), 1))
 
 
 @query("streamed_revisions", "SELECT o_orderkey AS dataset_revision_id, CAST(o_custkey AS VARCHAR) AS input_digest FROM orders")
@@ -397,7 +398,7 @@ def streamed_revisions(spark, folder):
 
 @query("streamed_distinct_packages", "SELECT count(DISTINCT (user_id, event_type)) AS packages FROM events")
 def streamed_distinct_packages(spark, folder):
-    events = _event_stream(spark, folder).select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("dataset_revision_id"), F.col("event_type").alias("input_digest"))
+    events = _event_stream(spark, folder).select(instant("ts").alias("at"), F.col("user_id").alias("dataset_revision_id"), F.col("event_type").alias("input_digest"))
     once = ingest.drop_repeated_packages(events, time="at", within="60 days")
     name = "packages_" + scratch(spark, "s").rsplit("-", 1)[1]
     return ingest.drain(once, name, "append", scratch(spark, "stream")).agg(F.count(F.lit(1)).alias("packages"))

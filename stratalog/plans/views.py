@@ -8,7 +8,7 @@ revisions, embeddings give spectra.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.operators.ordered import number, ordered_scan
@@ -20,13 +20,18 @@ LENGTH_H = 720.0
 SAMPLE_BLOCK = 65_536
 
 
+def instant(column: str) -> Column:
+    """A wall-clock column read as UTC, whatever the session's time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp")
+
+
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """events as readings: hole, event_id, us, seq, depth_h, call, event_type, value, k.
 
     ``seq`` is time and event id in one exact number: the order of readings.
     """
     events = table(spark, folder, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = F.unix_micros(instant("ts"))
     return events.select(
         F.col("user_id").alias("hole"), "event_id", us.alias("us"),
         (us.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("event_id").cast("decimal(19,0)")).cast("decimal(38,0)").alias("seq"), ((us - START_US) / 3.6e9).alias("depth_h"),

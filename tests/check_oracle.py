@@ -46,6 +46,8 @@ def main() -> int:
     if os.environ.get("CHECK_GROUP_ROWS"):
         # force the ways for heavy keys
         spark.conf.set("stratalog.groupRows", os.environ["CHECK_GROUP_ROWS"])
+    if os.environ.get("CHECK_TIME_ZONE"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TIME_ZONE"])
     connection = duckdb.connect()
     connection.execute("SET TimeZone = 'UTC'")
     for name in TABLES:
