@@ -5,13 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import bpe, chat, mixing, quality_rules, urls
+from stratalog.llm import bpe, chat, lsh_forest, mixing, quality_rules, urls, warc
 from stratalog.plans.registry import query
-from stratalog.session import table
+from stratalog.session import scratch, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+WARC_SQL = """
+WITH records AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+sized AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM records),
+firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM sized LEFT JOIN firsts USING (payload_digest)
+"""
+
+
+@query("op2_warc_packages", WARC_SQL)
+def warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """What is read back: sizes and digests of responses are those of the bytes read, a revisit states its own."""
+    pages = table(spark, folder, "pages").select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    manifest = warc.write_archives(warc.record_types(pages), scratch(spark, "warc"))
+    read = warc.read_records(warc.index_archives(manifest))
+    response = F.col("record_type") == "response"
+    return read.select(
+        "page_id",
+        F.when(response, F.length("payload").cast("long")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.col("stated_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+@query("op3_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, folder, "documents"), n=4, similar=80)
+
+
 @query("op5_byte_level_bpe")
 def byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode(table(spark, folder, "documents"), keep=["doc_id"])

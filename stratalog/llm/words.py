@@ -121,14 +121,12 @@ def shingles(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, n: int,
     small = np.flatnonzero((counts > 0) & (counts < n))
     if not len(small):
         return values, usable
-    whole = []
-    for r in small:
-        h = np.uint64(counts[r])
-        for w in hashes[first[r] : first[r] + counts[r]]:
-            h = mixed(np.array([h * _CHAIN + w], np.uint64))[0]
-        whole.append(h)
+    whole = counts[small].astype(np.uint64)
+    for k in range(n - 1):
+        more = counts[small] > k
+        whole[more] = mixed(whole[more] * _CHAIN + hashes[first[small][more] + k])
     into = np.cumsum(usable) - usable
-    values = np.insert(values, into[small], np.array(whole, np.uint64))
+    values = np.insert(values, into[small], whole)
     usable = usable.copy()
     usable[small] = 1
     return values, usable
