@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import bpe, chat, lsh_forest, mixing, quality_rules, urls, warc
+from stratalog.llm import bpe, chat, lsh_forest, mixing, pstable, quality_rules, urls, warc
 from stratalog.plans.registry import query
 from stratalog.session import scratch, table
 
@@ -44,6 +44,22 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, folder, "documents"), n=4, similar=80)
 
 
+EMBEDDING_SQL = """
+WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(node, other) AS (SELECT a, b FROM pairs UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON r.other = p.a),
+smallest AS (SELECT node, min(other) AS other FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(other, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN smallest ON node = vec_id
+"""
+
+
+@query("op4_embedding_near_dedup", EMBEDDING_SQL)
+def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return pstable.near_duplicates(table(spark, folder, "embeddings"), least=0.9)
+
+
 @query("op5_byte_level_bpe")
 def byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode(table(spark, folder, "documents"), keep=["doc_id"])
