@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import bpe, chat, lsh_forest, mixing, pstable, quality_rules, urls, warc
+from stratalog.llm import bpe, chat, lsh_forest, mixing, pstable, quality_rules, shards, urls, warc
 from stratalog.plans.registry import query
 from stratalog.session import scratch, table
 
@@ -73,6 +73,15 @@ def byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_training_order_shards")
+def training_order_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sequence as it is read back from its shard, with the documents it came from."""
+    manifest = shards.write_shards(table(spark, folder, "documents"), scratch(spark, "shards"))
+    read = shards.read_shards(manifest)
+    digests = read.select(F.col("slot").alias("_slot"), F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    return manifest.select("slot", "shard", "offset", "doc_ids").join(digests, F.col("slot") == F.col("_slot")).select("slot", "shard", "offset", "n_tokens", "ids_sha256", "doc_ids")
+
+
 URL_RULES = [
     urls.Rule("allow", "com", "/"),
     urls.Rule("block", "example.com", "/en/"),
