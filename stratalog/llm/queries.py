@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import bpe, chat, lsh_forest, mixing, pstable, quality_rules, shards, urls, warc
+from stratalog.llm import bpe, chat, lsh_forest, mixing, passages, pstable, quality_rules, shards, urls, warc
 from stratalog.plans.registry import query
 from stratalog.session import scratch, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@query("op1_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
 WARC_SQL = """
 WITH records AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 sized AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM records),
