@@ -115,8 +115,8 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
 @query("op8_quality_rules")
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    ratios = quality_rules.log_ratios(documents, trusted_documents(table(spark, folder, "labels")))
-    return quality_rules.judge(documents, ratios, keep=["doc_id"])
+    model = quality_rules.fit(documents, trusted_documents(table(spark, folder, "labels")))
+    return quality_rules.judge(documents, model, keep=["doc_id"])
 
 
 MIX_SQL = rf"""
