@@ -38,7 +38,7 @@ def _step(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
     large = both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    large = large.where("a <> b").distinct()
+    large = large.where("a <> b")
     least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
     joined = large.join(least, large["a"] == least["n"])
     small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
