@@ -27,7 +27,7 @@ def test_stages_on_planted_documents(spark):
     rows = [(*r, len(r[1] or ""), "x") for r in [*clean, *planted, *copies, *junk]]
     folder = scratch(spark, "pipeline-test")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(1400, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in [*range(200), *range(1300, 1306)]] + [(1400, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
