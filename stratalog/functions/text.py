@@ -126,12 +126,16 @@ def parse_log_name(value: str | Column) -> Column:
 
 
 def number_text(value: str | Column) -> Column:
-    """Compact text of a number: no decimals for whole numbers, six significant digits otherwise."""
+    """Compact text of a number: no decimals for whole numbers, six significant digits otherwise.
+
+    Written without an exponent; numbers below 1e-12 in magnitude keep 18 decimals.
+    """
     x = _c(value).cast("double")
     digits = F.greatest(F.lit(5) - F.floor(F.log10(F.abs(x))).cast("int"), F.lit(0))
     scale = F.pow(F.lit(10.0), digits)
     rounded = F.rint(x * scale) / scale
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", rounded), r"0+$", ""), r"\.$", "")
+    small = F.regexp_replace(F.format_string("%.18f", rounded), r"0+$", "")
+    plain = F.regexp_replace(F.when(F.abs(x) < 1e-6, small).otherwise(F.regexp_replace(F.format_string("%.12f", rounded), r"0+$", "")), r"\.$", "")
     return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(plain)
 
 

@@ -3,7 +3,7 @@
 ``ordered_scan`` is the one place where row numbers, neighbours and running
 aggregates are made. It picks between three ways:
 
-* plain window, when a count shows that the largest key fits one task;
+* plain window, when there is a key and a count shows that the largest fits one task;
 * blocks given by the caller (``block=``): a column that grows with the order
   and bounds the rows per (key, block), such as ``sample_no div 65536`` on an
   axis where sample numbers are unique;
@@ -89,8 +89,9 @@ def ordered_scan(
         result = _by_block(df.withColumn(BLOCK, block), key, order, outputs)
     else:
         limit = group_rows(df.sparkSession)
-        largest, total = sizes or group_sizes(df, key)
-        if largest <= limit:
+        largest, total = sizes or ((df.count(),) * 2 if not key else group_sizes(df, key))
+        # without a key a plain window would put the table into one task
+        if key and largest <= limit:
             window = W.partitionBy(*key).orderBy(*order)
             result = df.withColumns({n: _inside(n, s, window) for n, s in outputs.items()})
         else:

@@ -14,8 +14,11 @@ from stratalog.session import maybe_broadcast, settle_table
 
 
 def release_catalogue(active: DataFrame, members: DataFrame, revisions: DataFrame, boreholes: DataFrame, collars: DataFrame, axes: DataFrame) -> DataFrame:
-    """Holes of the active release. The pointer is one row; the other sides broadcast only if counted small."""
-    current = members.join(F.broadcast(active.select("release_id").limit(1)), "release_id")
+    """Holes of the active release; more than one active release is an error."""
+    two = active.select("release_id").distinct().limit(2).collect()
+    if len(two) > 1:
+        raise ValueError("two releases are active: " + ", ".join(sorted(str(r["release_id"]) for r in two)))
+    current = members.where(F.col("release_id").isin([r["release_id"] for r in two])) if two else members.where(F.lit(False))
     joined = (
         current.join(revisions, "dataset_revision_id")
         .join(boreholes, "borehole_id")

@@ -90,7 +90,8 @@ UNION ALL SELECT hole, e, 720.0, NULL, FALSE FROM tail WHERE e < 720""",
 )
 def logged_and_unlogged_segments(spark, folder):
     runs = daily_runs(spark, folder).select("hole", "depth_from_m", "depth_to_m", "call")
-    extent = readings(spark, folder).select("hole").distinct().withColumn("length", F.lit(LENGTH_H))
+    # the greater of the planned and the logged length
+    extent = runs.groupBy("hole").agg(F.greatest(F.lit(LENGTH_H), F.max("depth_to_m")).alias("length"))
     return intervals.fill_gaps(
         runs, extent, key=["hole"], lo="depth_from_m", hi="depth_to_m", length="length", sizes=days_bound(spark, folder)
     ).select("hole", "depth_from_m", "depth_to_m", "call", "logged")
@@ -331,14 +332,14 @@ def daily_calls_with_anomalies(spark, folder):
 @query(
     "band_dominant_by_midpoint",
     f"""WITH {SCAN_SQL},
-band AS (SELECT hole, b, b * 50.0 AS lo, b * 50.0 + 30 AS hi FROM (SELECT DISTINCT hole FROM scan), range(0, 15) r(b)),
+band AS (SELECT hole, b, b * 50.0 AS lo, b * 50.0 + 30 AS hi FROM (SELECT DISTINCT hole, CAST(floor((depth_h + 0.5) / 50) AS BIGINT) AS b FROM scan)),
 inside AS (SELECT b.hole, b.b, s.call, count(*) AS c, min(sample_no) AS f FROM band b JOIN scan s ON s.hole = b.hole AND depth_h + 0.5 >= lo AND depth_h + 0.5 < hi
   WHERE s.call IS NOT NULL GROUP BY 1, 2, 3)
 SELECT hole, b AS band, arg_min(call, (-c, f)) AS call, round(max(c) / sum(c), 6) AS coverage FROM inside GROUP BY 1, 2""",
 )
 def band_dominant_by_midpoint(spark, folder):
     samples = scan(spark, folder).where("call is not null").select("hole", "sample_no", "call", (F.col("depth_h") + 0.5).alias("mid"))
-    bands = readings(spark, folder).select("hole").distinct().withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(14)).cast("array<long>")))
+    bands = samples.select("hole", F.floor(F.col("mid") / 50).alias("band")).distinct()
     bands = bands.select("hole", "band", (F.col("band") * 50.0).alias("lo"), (F.col("band") * 50.0 + 30).alias("hi"))
     found = intervals.covering(samples, bands, key=["hole"], at="mid", lo="lo", hi="hi", bounds="half_open")
     best = calls.dominant(found, by=["hole", "band"], label="call", order=["sample_no"])

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from stratalog.operators import align, profiles, quality, relations, routing
 from stratalog.plans.call_queries import DAILY_SQL
 from stratalog.plans.registry import query
-from stratalog.plans.views import READINGS_SQL, SCAN_SQL, SITES_SQL, instant, intervals as ranges, readings, scan, sites, spectra
+from stratalog.plans.views import READINGS_SQL, SCAN_SQL, SITES_SQL, instant, intervals as ranges, readings, scan, sites, spectra, order_of
 from stratalog.session import scratch, settle_table, table
 from stratalog.sources import documents, files, logs, sinks
 from stratalog.streaming import ingest
@@ -106,10 +106,10 @@ def chunk_index(spark, folder):
 def depth_profiles(spark, folder):
     """JSON-lines profiles written per hole and read back with their sample numbers checked."""
     path = scratch(spark, "profiles")
-    rows = scan(spark, folder).select((F.col("hole") % LOGS).alias("log"), F.to_json(F.struct((F.col("hole") * 1000000 + F.col("sample_no")).alias("sampleNo"), F.array("value", F.col("k").cast("double")).alias("floatprofdata"))).alias("value"))
-    rows.repartition("log").write.partitionBy("log").text(path)
+    rows = scan(spark, folder).select((F.col("hole") % LOGS).alias("log"), "hole", F.to_json(F.struct(F.col("sample_no").alias("sampleNo"), F.array("value", F.col("k").cast("double"), F.col("hole").cast("double")).alias("floatprofdata"))).alias("value"))
+    rows.repartition("log", "hole").drop("hole").write.partitionBy("log").text(path)
     raw = logs.read_profiles(spark, path, glob="*")
-    return raw.select(F.floor(F.col("sample_no") / 1000000).alias("hole"), (F.col("sample_no") % 1000000).alias("sample_no"), F.round(F.get("values", F.lit(0)) + F.get("values", F.lit(1)), 6).alias("total"))
+    return raw.select(F.get("values", F.lit(2)).cast("long").alias("hole"), "sample_no", F.round(F.get("values", F.lit(0)) + F.get("values", F.lit(1)), 6).alias("total"))
 
 
 @query("float32_spectra", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last, 64 AS channels FROM embeddings")
@@ -262,7 +262,7 @@ def file_inventory(spark, folder):
     return both.select(name.alias("name"), (F.size(F.split(F.col("content").cast("string"), "\n")) - 1).alias("n")).groupBy("name").agg(F.sum("n").alias("rows"))
 
 
-@query("package_documents", "SELECT CAST(c_custkey AS VARCHAR) AS hole_id, 12 - CAST(c_custkey % 2 AS INTEGER) + CAST(c_custkey % 3 = 0 AS INTEGER) AS problems, c_name AS name FROM customer WHERE c_custkey < 1000000")
+@query("package_documents", "SELECT CAST(c_custkey AS VARCHAR) AS hole_id, 12 - CAST(c_custkey % 2 AS INTEGER) + CAST(c_custkey % 3 = 0 AS INTEGER) AS problems, c_name AS name FROM customer")
 def package_documents(spark, folder):
     """Hole documents from JSON files: one borehole.json and for every second hole a datasets.json."""
     rows = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("hole_id"), "c_custkey", "c_name")
@@ -364,25 +364,23 @@ def streamed_daily_calls(spark, folder):
     """Running counts kept by a stream over events; the call is taken from them on read."""
     us = F.unix_micros(instant("ts"))
     samples = _event_stream(spark, folder).select(
-        F.col("user_id").alias("hole"), ((us - 1704067200000000) / 3.6e9).alias("depth_h"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("call"), (us * 1000 + F.col("event_id") % 1000).alias("at")
+        F.col("user_id").alias("hole"), ((us - 1704067200000000) / 3.6e9).alias("depth_h"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("call"), order_of(us, F.col("event_id")).alias("at")
     )
     running = ingest.running_counts(samples, key=["hole"], depth="depth_h", label="call", order="at", width=24.0)
-    name = "counts_" + scratch(spark, "s").rsplit("-", 1)[1]
-    updates = ingest.drain(running, name, "update", scratch(spark, "stream"))
+    updates = ingest.drain(running, "update", scratch(spark, "stream"))
     latest = ingest.latest_counts(updates, key=["hole"], label="call")
     return ingest.finished_calls(latest, key=["hole"], label="call").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("streamed_window_counts", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) FROM events) - 1 GROUP BY 1, 2")
+@query("streamed_window_counts", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streamed_window_counts(spark, folder):
-    """Tumbling day windows with a watermark; windows the watermark has closed."""
+    """Tumbling day windows with a watermark, with the last count of every window, open ones included."""
     events = _event_stream(spark, folder).withColumn("ts", instant("ts"))
     counted = ingest.windowed_counts(events, time="ts", label="event_type")
-    name = "windows_" + scratch(spark, "s").rsplit("-", 1)[1]
-    closed = ingest.drain(counted, name, "append", scratch(spark, "stream"))
-    last = table(spark, folder, "events").agg(F.max(F.col("ts").cast("date")).alias("m")).first()["m"]
+    updates = ingest.drain(counted, "update", scratch(spark, "stream"))
+    counts = updates.groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
     day = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz")).cast("date")
-    return closed.select(day.alias("day"), "event_type", "n").where(F.col("day") < F.date_sub(F.lit(last), 1))
+    return counts.select(day.alias("day"), "event_type", "n")
 
 
 @query("streamed_revisions", "SELECT o_orderkey AS dataset_revision_id, CAST(o_custkey AS VARCHAR) AS input_digest FROM orders")
@@ -399,6 +397,5 @@ def streamed_revisions(spark, folder):
 @query("streamed_distinct_packages", "SELECT count(DISTINCT (user_id, event_type)) AS packages FROM events")
 def streamed_distinct_packages(spark, folder):
     events = _event_stream(spark, folder).select(instant("ts").alias("at"), F.col("user_id").alias("dataset_revision_id"), F.col("event_type").alias("input_digest"))
-    once = ingest.drop_repeated_packages(events, time="at", within="60 days")
-    name = "packages_" + scratch(spark, "s").rsplit("-", 1)[1]
-    return ingest.drain(once, name, "append", scratch(spark, "stream")).agg(F.count(F.lit(1)).alias("packages"))
+    once = ingest.drop_repeated_packages(events, time="at", within=None)
+    return ingest.drain(once, "append", scratch(spark, "stream")).agg(F.count(F.lit(1)).alias("packages"))

@@ -8,7 +8,7 @@ from stratalog.functions import fixed, geo, hashing, numbers, text
 from stratalog.operators import align, geometry, intervals, neighbours, paging, profiles, relations
 from stratalog.plans.call_queries import DAILY_RUNS_SQL, DAILY_SQL, daily, daily_runs, days_bound
 from stratalog.plans.registry import query
-from stratalog.plans.views import MEMBERS_SQL, SCAN_SQL, SITES_SQL, km_sql, members, sample_block, scan, sites, spectra
+from stratalog.plans.views import LENGTH_H, MEMBERS_SQL, SCAN_SQL, SITES_SQL, km_sql, members, sample_block, scan, sites, spectra
 from stratalog.session import table
 
 # ---------------------------------------------------------------- joins
@@ -280,14 +280,15 @@ def payload_files(spark, folder):
 @query(
     "trace_points_with_calls",
     f"""WITH {DAILY_SQL},
-p AS (SELECT hole, i AS point, i * 37.0::DOUBLE AS d FROM (SELECT DISTINCT hole FROM readings), range(0, 20) r(i) WHERE i * 37 < 720
-  UNION ALL SELECT DISTINCT hole, 20, 720.0 FROM readings)
+ends AS (SELECT hole, greatest(720.0, max(depth_to_m)) AS len FROM daily GROUP BY 1),
+p AS (SELECT hole, point, point * 37.0::DOUBLE AS d FROM (SELECT hole, unnest(range(0, CAST(ceil(len / 37) AS BIGINT))) AS point FROM ends)
+  UNION ALL SELECT hole, CAST(ceil(len / 37) AS BIGINT), len FROM ends)
 SELECT p.hole, CAST(point AS INTEGER) AS point, d AS depth_m, round_even(d * 0.5, 3) AS east_m, coalesce(call, '') AS mineral FROM p
 LEFT JOIN daily x ON x.hole = p.hole AND d >= depth_from_m AND d < depth_to_m""",
 )
 def trace_points_with_calls(spark, folder):
-    holes = scan(spark, folder).select(F.col("hole").alias("hole_id")).distinct()
-    holes = holes.select("hole_id", F.lit(-60.0).alias("inclination_deg"), F.lit(90.0).alias("azimuth_deg"), F.lit(720.0).alias("drawn_length_m"))
+    holes = daily(spark, folder).groupBy(F.col("hole").alias("hole_id")).agg(F.greatest(F.lit(LENGTH_H), F.max("depth_to_m")).alias("drawn_length_m"))
+    holes = holes.select("hole_id", F.lit(-60.0).alias("inclination_deg"), F.lit(90.0).alias("azimuth_deg"), "drawn_length_m")
     points = geometry.trace_points(holes, step=37.0)
     measured = daily(spark, folder).select(
         F.col("hole").alias("hole_id"), "depth_from_m", "depth_to_m", F.col("call").alias("mineral"), "confidence", F.lit(0.0).alias("anomaly_score"), F.lit(False).alias("is_anomaly")
@@ -309,9 +310,9 @@ FROM seg JOIN sites ON sites.hole_id = seg.hole""",
 )
 def trace_segments_in_space(spark, folder):
     runs = daily_runs(spark, folder).select(F.col("hole").alias("hole_id"), F.col("depth_from_m").alias("from_m"), F.col("depth_to_m").alias("to_m"), "call")
-    with_runs = scan(spark, folder).select(F.col("hole").alias("hole_id")).distinct()
-    holes = sites(spark, folder).join(with_runs, "hole_id", "left_semi").withColumns(
-        {"inclination_deg": F.lit(-60.0), "azimuth_deg": F.lit(45.0), "elevation_m": F.lit(None).cast("double"), "drawn_length_m": F.lit(720.0)}
+    drawn = runs.groupBy("hole_id").agg(F.greatest(F.lit(LENGTH_H), F.max("to_m")).alias("drawn_length_m"))
+    holes = sites(spark, folder).join(drawn, "hole_id").withColumns(
+        {"inclination_deg": F.lit(-60.0), "azimuth_deg": F.lit(45.0), "elevation_m": F.lit(None).cast("double")}
     )
     found = geometry.trace_segments(holes, runs, sizes=days_bound(spark, folder))
     return found.select(

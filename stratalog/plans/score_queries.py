@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratalog.operators import features, forest, profiles, scoring
 from stratalog.operators.bands import fit_bands, score_bands
 from stratalog.operators.lof import local_outlier_factor
-from stratalog.operators.neighbours import most_similar, nearest_sites
+from stratalog.operators.neighbours import most_similar, nearest_sites, nearest_vectors
 from stratalog.plans.registry import query
 from stratalog.plans.views import READINGS_SQL, SITES_SQL, km_sql, readings, sites, spectra
 from stratalog.session import settle_table, table
@@ -228,9 +228,9 @@ def column_roles(spark, folder):
 
 @query("interval_anomalies")
 def interval_anomalies(spark, folder):
-    """Complete interval model: robust, principal-axis and isolation-forest signals, flags and reasons."""
+    """Complete interval model: robust, principal-axis, isolation-forest and outlier-factor signals, flags and reasons."""
     samples = readings(spark, folder)
-    scored, _, _ = scoring.score_intervals(samples, spec_of(samples), lof=False)
+    scored, _, _ = scoring.score_intervals(samples, spec_of(samples))
     return scored.drop("scaled")
 
 
@@ -251,7 +251,7 @@ def principal_axis_scores(spark, folder):
 @query("isolation_forest_scores")
 def isolation_forest_scores(spark, folder):
     vectors = spectra(spark, folder).select("vec_id", F.col("values").cast("array<double>").alias("v"))
-    model = forest.fit(vectors, "v", "vec_id", trees=100)
+    model = forest.fit(vectors, "v", "vec_id", trees=300)
     return vectors.select("vec_id", F.round(forest.score("v", model, spark), 6).alias("isolation_score"))
 
 
@@ -274,12 +274,50 @@ def local_outlier_factors(spark, folder):
 def band_model_scores(spark, folder):
     """Bands of each spectrum: fit on usable rows, score all, flag the most unusual share."""
     values = spectra(spark, folder)
-    bands = values.select("vec_id", (F.col("label") % 7 == 6).alias("missing"), *[F.get("values", F.lit(i)).cast("double").alias(f"band_{380 + 4 * i}") for i in range(0, 64, 4)])
+    bands = values.select("vec_id", (F.col("label") % 7 == 6).alias("missing"), *[F.get("values", F.lit(i)).cast("double").alias(f"band_{380 + 4 * i}") for i in range(64)])
     usable = bands.where(~F.col("missing"))
-    model = fit_bands(usable, "vec_id", trees=100)
+    model = fit_bands(usable, "vec_id", trees=200)
     return score_bands(bands, model, "vec_id", skipped=F.col("missing")).select("vec_id", "anomaly_score", "is_anomaly", F.round("reconstruction_error", 4).alias("reconstruction_error"))
 
 
+LATTICE_SQL = """WITH l AS (SELECT min(p_partkey) AS id, p_partkey % 7 AS x, p_partkey // 7 % 7 AS y, p_size % 6 AS z FROM part GROUP BY 2, 3, 4),
+p AS (SELECT a.id, b.id AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM l a JOIN l b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, near) AS place FROM p)
+SELECT id, near, round(sqrt(d), 9) AS distance FROM r WHERE place <= 5"""
+
+
+def _lattice(spark, folder, small):
+    at = F.array(*[c.cast("double") for c in (F.col("p_partkey") % 7, F.floor(F.col("p_partkey") / 7) % 7, F.col("p_size") % 6)])
+    entries = table(spark, folder, "part").groupBy(at.alias("v")).agg(F.min("p_partkey").alias("vid"))
+    near = nearest_vectors(entries, 5, small=small)
+    return near.select(F.col("vid").alias("id"), F.col("nid").alias("near"), F.round("distance", 9).alias("distance"))
+
+
+@query("lattice_neighbours", LATTICE_SQL)
+def lattice_neighbours(spark, folder):
+    """Five nearest on a lattice, where nearly all distances are tied."""
+    return _lattice(spark, folder, None)
+
+
+@query("lattice_neighbours_by_cells", LATTICE_SQL)
+def lattice_neighbours_by_cells(spark, folder):
+    """The same through cells, as tables too large to broadcast go."""
+    return _lattice(spark, folder, 10)
+
+
+@query(
+    "sites_at_equal_distance",
+    f"""WITH s AS (SELECT s_suppkey AS hole_id, (s_suppkey % 5) * 10.0 - 20 AS latitude, (s_suppkey % 12) * 30.0 AS longitude FROM supplier),
+p AS (SELECT a.hole_id, b.hole_id AS neighbour, round({km_sql("a.latitude", "a.longitude", "b.latitude", "b.longitude")}, 6) AS km FROM s a JOIN s b ON a.hole_id <> b.hole_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY hole_id ORDER BY km, neighbour) AS place FROM p)
+SELECT hole_id, neighbour, round(km, 3) AS km, CAST(place AS INTEGER) AS place FROM r WHERE place <= 4""",
+)
+def sites_at_equal_distance(spark, folder):
+    """Sites on a grid of degrees: many share a position, and most distances are tied."""
+    at = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("hole_id"), ((F.col("s_suppkey") % 5) * 10.0 - 20).alias("latitude"), ((F.col("s_suppkey") % 12) * 30.0).alias("longitude"))
+    return nearest_sites(at, 4).withColumn("km", F.round("km", 3))
+
+
 @query(
     "most_similar_spectrum",
     """WITH p AS (

@@ -25,6 +25,11 @@ def instant(column: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp")
 
 
+def order_of(us: Column, ident: Column) -> Column:
+    """Time and id in one exact number."""
+    return (us.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + ident.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """events as readings: hole, event_id, us, seq, depth_h, call, event_type, value, k.
 
@@ -34,7 +39,7 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
     us = F.unix_micros(instant("ts"))
     return events.select(
         F.col("user_id").alias("hole"), "event_id", us.alias("us"),
-        (us.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("event_id").cast("decimal(19,0)")).cast("decimal(38,0)").alias("seq"), ((us - START_US) / 3.6e9).alias("depth_h"),
+        order_of(us, F.col("event_id")).alias("seq"), ((us - START_US) / 3.6e9).alias("depth_h"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("call"), "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )

@@ -15,6 +15,9 @@ from stratalog.session import settle_table
 ROWS_PER_FILE = 1_000_000
 CHUNK_ROWS = 4_096
 
+# most wavelength axes that one wide table may join; more are refused
+MAX_STREAMS = 10_000
+
 
 def write_canonical(df: DataFrame, path: str, *, partitions: Sequence[str], order: str, mode: str = "errorifexists") -> None:
     """Typed Parquet partitioned by log, each file a contiguous range of ``order`` so that footers prune depth reads.
@@ -94,7 +97,9 @@ def wide_spectra(spectra: DataFrame, streams: DataFrame, *, keys: Sequence[str])
     """
     axes = {r["stream_id"]: r["names"] for r in streams.select(
         "stream_id", F.transform("wavelengths", lambda w: wavelength_column(w, F.col("unit"))).alias("names")
-    ).limit(10_000).collect()}
+    ).limit(MAX_STREAMS + 1).collect()}
+    if len(axes) > MAX_STREAMS:
+        raise ValueError(f"more than {MAX_STREAMS} spectral streams: write them in parts")
     names = list(dict.fromkeys(n for a in axes.values() for n in a))
     at = {stream: {n: i for i, n in enumerate(a)} for stream, a in axes.items()}
     columns = []

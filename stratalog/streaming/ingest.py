@@ -75,19 +75,25 @@ def windowed_counts(events: DataFrame, *, time: str, label: str, late: str = "1
     )
 
 
-def drop_repeated_packages(packages: DataFrame, *, time: str, ident: str = "dataset_revision_id", digest: str = "input_digest", within: str = "7 days") -> DataFrame:
-    """Each (revision, digest) once within the watermark."""
+def drop_repeated_packages(packages: DataFrame, *, time: str, ident: str = "dataset_revision_id", digest: str = "input_digest", within: str | None = "7 days") -> DataFrame:
+    """Each (revision, digest) once within the watermark; once for good with ``within=None``, whose state grows with the packages."""
+    if within is None:
+        return packages.dropDuplicates([ident, digest])
     return packages.withWatermark(time, within).dropDuplicatesWithinWatermark([ident, digest])
 
 
-def drain(frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a finite stream to its end into a memory table (tests and small reports)."""
-    query = (
-        frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+def drain(frame: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a finite stream to its end into Parquet below ``folder``, one part per batch; gives all output rows.
+
+    A batch that is run again after a failure overwrites its own part.
+    """
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    query = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return frame.sparkSession.table(name)
+    frame.sparkSession.createDataFrame([], frame.schema).write.parquet(f"{folder}/rows/batch=-1")
+    return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/rows").drop("batch")
 
 
 def latest_counts(updates: DataFrame, *, key: Sequence[str], label: str) -> DataFrame:

@@ -189,6 +189,32 @@ def test_cells_equal_brute_force(spark, k):
         np.testing.assert_allclose(got, np.sort(d, axis=1)[:, :k], rtol=1e-9)
 
 
+@pytest.mark.parametrize("small", [10, 1000])
+def test_ties_go_to_the_smaller_id_both_ways(spark, small):
+    rng = np.random.default_rng(4)
+    x = np.array([(a, b, c) for a in range(6) for b in range(6) for c in range(6)], float)
+    x = x[rng.permutation(len(x))]
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    df = vectors(spark, x).select(F.col("id").alias("vid"), "v")
+    for k in (1, 3, 20):
+        wanted = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:k]}
+        assert {(r.vid, r.nid) for r in neighbours.nearest_vectors(df, k, small=small).collect()} == wanted
+    widened = {(r.vid, r.nid) for r in neighbours.nearest_vectors(df, 2, small=small, widen=1e-9).collect()}
+    assert widened == {(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(d[i] <= np.sort(d[i])[1])}
+
+
+@pytest.mark.parametrize("small", ["5", "1000"])
+def test_sites_on_a_ring_are_all_equally_far(spark, small):
+    sites = spark.createDataFrame([(0, 90.0, 0.0)] + [(i, 40.0, 12.0 * i) for i in range(1, 31)], "hole_id int, latitude double, longitude double")
+    spark.conf.set("stratalog.smallVectors", small)
+    try:
+        found = neighbours.nearest_sites(sites, 5).where("hole_id = 0").collect()
+    finally:
+        spark.conf.unset("stratalog.smallVectors")
+    assert sorted((r.place, r.neighbour) for r in found) == [(i, i) for i in range(1, 6)]
+
+
 def test_nearest_sites_cross_the_date_line_and_break_ties_by_id(spark):
     sites = spark.createDataFrame([("a", 0.0, 179.9), ("b", 0.0, -179.9), ("c", 0.0, 170.0), ("d", 0.0, 179.9), ("e", 0.0, 179.9)], "hole_id string, latitude double, longitude double")
     found = {(r.hole_id, r.place): (r.neighbour, round(r.km, 3)) for r in neighbours.nearest_sites(sites, 2).collect()}
