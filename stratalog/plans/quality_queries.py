@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratalog.functions import numbers, text
 from stratalog.operators import quality, release, routing
 from stratalog.plans.call_queries import DAILY_SQL, daily
 from stratalog.plans.registry import query
@@ -869,3 +870,28 @@ def daily_calls_kept(spark, folder):
 
     known = sites(spark, folder).select(F.col("hole_id").alias("hole"))
     return semi(daily(spark, folder), known, ["hole"]).select("hole", "depth_from_m", "call")
+
+
+@query(
+    "strict_field_checks",
+    """WITH t AS (SELECT c_custkey, c_custkey % 5 AS k FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS flag, k = 3 AS odd_flag,
+  CASE k WHEN 0 THEN '2024-02-29' WHEN 4 THEN '2024-01-02T03:04:05' END AS day, k = 3 AS broken_day,
+  k IN (0, 2) AS safe_key, CASE k WHEN 0 THEN 'Illite' WHEN 1 THEN 'Mica' WHEN 2 THEN 'Chlorite' END AS class, k IN (0, 3, 4) AS rising
+FROM t""",
+)
+def strict_field_checks(spark, folder):
+    """Strict booleans, ISO dates, object keys, class codes and rising axes, each with values that fail."""
+    k = F.col("c_custkey") % 5
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    axis = F.element_at(F.array(*[F.array(*[F.lit(x).cast("double") for x in a]) for a in ([1, 2, 3], [1, 1], [2, 1, 3], [5], [])]), (k + 1).cast("int"))
+    rows = table(spark, folder, "customer").select(
+        "c_custkey", pick("true", "false", "", "yes", None).alias("flag"), pick("2024-02-29", "unknown", "", "2024-02-30", "2024-01-02T03:04:05").alias("day"),
+        pick("a/b.parquet", "../a", "a/..b", "/a", "c:/a").alias("key"), pick("2", "1.0", " Chlorite ", "9", "").alias("class"), axis.alias("axis"),
+        F.array(F.lit("Mica"), F.lit("Illite")).alias("classes"),
+    )
+    return rows.select(
+        "c_custkey", text.strict_boolean("flag").alias("flag"), F.coalesce(text.unknown_boolean("flag"), F.lit(False)).alias("odd_flag"),
+        text.iso_date("day").alias("day"), F.coalesce(text.broken_date("day"), F.lit(False)).alias("broken_day"), text.safe_object_key("key").alias("safe_key"),
+        text.class_name("class", "classes").alias("class"), numbers.strictly_increasing("axis").alias("rising"),
+    )

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalog.operators import features, forest, profiles, scoring
-from stratalog.operators.bands import fit_bands, score_bands
+from stratalog.operators.bands import BandModel, fit_bands, score_bands
 from stratalog.operators.lof import local_outlier_factor
 from stratalog.operators.neighbours import most_similar, nearest_sites, nearest_vectors
 from stratalog.plans.registry import query
 from stratalog.plans.views import READINGS_SQL, SITES_SQL, km_sql, readings, sites, spectra
-from stratalog.session import settle_table, table
+from stratalog.session import scratch, settle_table, table
 
 BIN_H = 120.0
 LABELS = ["click", "error", "purchase", "signup", "view"]
@@ -280,6 +280,75 @@ def band_model_scores(spark, folder):
     return score_bands(bands, model, "vec_id", skipped=F.col("missing")).select("vec_id", "anomaly_score", "is_anomaly", F.round("reconstruction_error", 4).alias("reconstruction_error"))
 
 
+@query(
+    "hole_profile_positions",
+    f"""WITH {SCALED_SQL},
+part AS (
+  SELECT hole, unnest(v) AS z, unnest(['value [mean]', 'value [sd]', 'k [mean]', 'k [sd]', {", ".join(f"'event_type = {l}'" for l in LABELS)}]) AS name FROM scaled)
+SELECT hole, name, count(*) AS n_intervals, round(quantile_cont(z, 0.5), 5) AS middle, round(stddev_pop(z), 5) AS spread FROM part GROUP BY 1, 2""",
+)
+def hole_profile_positions(spark, folder):
+    """The profile by which whole holes are compared: median and deviation of each feature."""
+    scored, spec = scaled_table(spark, folder)
+    names, wide = spec.kept_names, len(spec.kept_names)
+    places = [F.struct(F.lit(n).alias("name"), F.get("profile", F.lit(i)).alias("m"), F.get("profile", F.lit(wide + i)).alias("s")) for i, n in enumerate(names)]
+    flat = scoring.hole_profiles(scored, hole="hole").select("hole", "n_intervals", F.explode(F.array(*places)).alias("p"))
+    return flat.select("hole", "p.name", "n_intervals", F.round("p.m", 5).alias("middle"), F.round("p.s", 5).alias("spread"))
+
+
+@query(
+    "principal_axis_identity",
+    """WITH long AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+centre AS (SELECT i, quantile_cont(x, 0.5) AS m FROM long GROUP BY 1)
+SELECT vec_id, round(sum((x - m) * (x - m)), 5) AS squared_distance FROM long JOIN centre USING (i) GROUP BY 1""",
+)
+def principal_axis_identity(spark, folder):
+    """Projection and reconstruction error together give back the squared distance to the centre."""
+    vectors = spectra(spark, folder).select("vec_id", F.col("values").cast("array<double>").alias("v"))
+    axes = scoring.principal_axes(vectors, "v", scoring.positions(vectors, "v", vectors.count()), variance=scoring.VARIANCE_TARGET)
+    scored = vectors.withColumn("s", scoring.axis_scores("v", axes))
+    along = F.aggregate("s.projection", F.lit(0.0), lambda total, x: total + x * x)
+    return scored.select("vec_id", F.round(along + F.col("s.reconstruction_error") * F.col("s.reconstruction_error"), 5).alias("squared_distance"))
+
+
+@query(
+    "forest_path_lengths",
+    """WITH depth AS (
+  SELECT vec_id, CASE WHEN embedding[1] <= 0 THEN 1 + 0.5 WHEN embedding[2] <= 0.05 THEN 2 + 1.25 ELSE 2 END AS a,
+         CASE WHEN embedding[64] <= -0.02 THEN 1 WHEN embedding[3] <= 0 THEN 2 + 3.0 ELSE 2 + 0.25 END AS b FROM embeddings)
+SELECT vec_id, round(pow(2, -((a + b) / 2) / (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0)), 9) AS score FROM depth""",
+)
+def forest_path_lengths(spark, folder):
+    """Scores of a forest of two written-out trees: path lengths and their scale."""
+    nodes = [
+        (0, [0, -1, 1, -1, -1], [0.0, 0.0, 0.05, 0.0, 0.0], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0.0, 0.5, 0.0, 1.25, 0.0], 256),
+        (1, [63, -1, 2, -1, -1], [-0.02, 0.0, 0.0, 0.0, 0.0], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0.0, 0.0, 0.0, 3.0, 0.25], 256),
+    ]
+    vectors = spectra(spark, folder).select("vec_id", F.col("values").cast("array<double>").alias("v"))
+    model = spark.createDataFrame(nodes, forest.TREE_SCHEMA)
+    return vectors.select("vec_id", F.round(forest.score("v", model, spark), 9).alias("score"))
+
+
+@query(
+    "band_model_saved",
+    """SELECT count(*) AS n, CAST(count_if(label % 7 = 6) AS BIGINT) AS skipped, CAST(count_if(label % 7 <> 6) - ceil(0.95 * (count_if(label % 7 <> 6) - 1)) AS BIGINT) AS flagged, 0 AS skipped_flagged,
+0.0::DOUBLE AS lowest, 1.0::DOUBLE AS highest FROM embeddings""",
+)
+def band_model_saved(spark, folder):
+    """A band model fitted, saved, loaded and applied: how many rows it skips and flags, and the range of its scores."""
+    values = spectra(spark, folder)
+    bands = values.select("vec_id", (F.col("label") % 7 == 6).alias("missing"), *[F.get("values", F.lit(i)).cast("double").alias(f"band_{380 + 4 * i}") for i in range(64)])
+    path = scratch(spark, "band-model")
+    fit_bands(bands.where(~F.col("missing")), "vec_id").save(path)
+    scored = score_bands(bands, BandModel.load(spark, path), "vec_id", skipped=F.col("missing"), keep=["missing"])
+    count = lambda c: F.count_if(c)
+    usable = F.when(~F.col("missing"), F.col("anomaly_score"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), count(F.col("missing")).alias("skipped"), count(F.col("is_anomaly")).alias("flagged"),
+        count(F.col("missing") & F.col("is_anomaly")).cast("int").alias("skipped_flagged"), F.min(usable).alias("lowest"), F.max(usable).alias("highest"),
+    )
+
+
 LATTICE_SQL = """WITH l AS (SELECT min(p_partkey) AS id, p_partkey % 7 AS x, p_partkey // 7 % 7 AS y, p_size % 6 AS z FROM part GROUP BY 2, 3, 4),
 p AS (SELECT a.id, b.id AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM l a JOIN l b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, near) AS place FROM p)
