@@ -235,16 +235,19 @@ def interval_calls(samples: DataFrame, intervals: DataFrame, *, key: Sequence[st
 
 
 def choose_log_copy(logs: DataFrame, bands: DataFrame, *, key: Sequence[str]) -> DataFrame:
-    """Among copies of a log, the one with most calls in the depth range, in name-priority order.
+    """Among copies of a log, the one with most calls in each depth range, in name-priority order.
 
     ``logs``: key, name_rank, copy, start, end, value; ``bands``: key, depth_from, depth_to.
-    Result: key, name_rank, copy, n for the winning copy of each key.
+    Result: key, depth_from, depth_to, name_rank, copy, n for the winning copy of each band with a call.
     """
-    mid = (F.col("start") + F.col("end")) / 2
-    hit = (mid >= F.col("depth_from")) & (mid < F.col("depth_to")) & F.col("value").isNotNull()
-    counts = logs.join(bands, list(key)).where(hit).groupBy(*key, "name_rank", "copy").agg(F.count(F.lit(1)).alias("n"))
+    from stratalog.operators.intervals import covering
+
+    called = logs.where(F.col("value").isNotNull()).withColumn("_mid", (F.col("start") + F.col("end")) / 2)
+    found = covering(called, bands, key=list(key), at="_mid", lo="depth_from", hi="depth_to", bounds="half_open")
+    band = [*key, "depth_from", "depth_to"]
+    counts = found.groupBy(*band, "name_rank", "copy").agg(F.count(F.lit(1)).alias("n"))
     best = F.min_by(F.struct("name_rank", "copy", "n"), F.struct("name_rank", (-F.col("n")).alias("neg"), "copy"))
-    return counts.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
+    return counts.groupBy(*band).agg(best.alias("b")).select(*band, "b.*")
 
 
 def display_label(value: str | Column) -> Column:

@@ -383,10 +383,10 @@ def distinct_calls_per_hole(spark, folder):
 @query(
     "best_log_copy",
     """WITH hit AS (
-  SELECT l_suppkey AS hole, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS name_rank, l_linenumber AS copy
-  FROM lineitem WHERE l_quantity + l_tax / 2 >= 10 AND l_quantity + l_tax / 2 < 14 AND l_linestatus = 'O'),
-c AS (SELECT hole, name_rank, copy, count(*) AS n FROM hit GROUP BY 1, 2, 3)
-SELECT hole, arg_min(name_rank, (name_rank, -n, copy)) AS name_rank, arg_min(copy, (name_rank, -n, copy)) AS copy, arg_min(n, (name_rank, -n, copy)) AS n FROM c GROUP BY 1""",
+  SELECT l_suppkey AS hole, lo AS depth_from, hi AS depth_to, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS name_rank, l_linenumber AS copy
+  FROM lineitem, (VALUES (10.0::DOUBLE, 14.0::DOUBLE), (12.0, 30.0), (30.0, 31.0)) b(lo, hi) WHERE l_quantity + l_tax / 2 >= lo AND l_quantity + l_tax / 2 < hi AND l_linestatus = 'O'),
+c AS (SELECT hole, depth_from, depth_to, name_rank, copy, count(*) AS n FROM hit GROUP BY 1, 2, 3, 4, 5)
+SELECT hole, depth_from, depth_to, arg_min(name_rank, (name_rank, -n, copy)) AS name_rank, arg_min(copy, (name_rank, -n, copy)) AS copy, arg_min(n, (name_rank, -n, copy)) AS n FROM c GROUP BY 1, 2, 3""",
 )
 def best_log_copy(spark, folder):
     items = table(spark, folder, "lineitem")
@@ -395,7 +395,8 @@ def best_log_copy(spark, folder):
         F.col("l_suppkey").alias("hole"), rank.alias("name_rank"), F.col("l_linenumber").alias("copy"), F.col("l_quantity").alias("start"),
         (F.col("l_quantity") + F.col("l_tax")).alias("end"), F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("value"),
     )
-    bands = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("hole"), F.lit(10.0).alias("depth_from"), F.lit(14.0).alias("depth_to"))
+    ranges_ = F.array(*[F.struct(F.lit(lo).alias("depth_from"), F.lit(hi).alias("depth_to")) for lo, hi in ((10.0, 14.0), (12.0, 30.0), (30.0, 31.0))])
+    bands = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("hole"), F.inline(ranges_))
     return calls.choose_log_copy(logs, bands, key=["hole"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from stratalog.operators import align, profiles, quality, relations, routing
 from stratalog.plans.call_queries import DAILY_SQL
 from stratalog.plans.registry import query
+from stratalog.plans.score_queries import SCALED_SQL, scaled_table
 from stratalog.plans.views import READINGS_SQL, SCAN_SQL, SITES_SQL, instant, intervals as ranges, readings, scan, sites, spectra, order_of
 from stratalog.session import scratch, settle_table, table
 from stratalog.sources import documents, files, logs, sinks
@@ -89,11 +90,21 @@ def prepared_logs(spark, folder):
     return joined.select("log", "row_count", "null_count", "point_count", "coordinate_min", "coordinate_max", "decreasing_start_count", "chunks", "stored_differently")
 
 
-@query("canonical_read_back", "SELECT o_orderkey, o_totalprice, o_orderstatus, CAST(0 AS BIGINT) AS surplus FROM orders WHERE FALSE")
+@query(
+    "canonical_read_back",
+    """WITH o AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus FROM orders)
+SELECT *, CAST(1 AS BIGINT) AS surplus FROM o WHERE o_orderkey % 50 = 0 OR o_orderkey % 50 = 1
+UNION ALL SELECT o_orderkey, o_totalprice + 1, o_orderstatus, -1 FROM o WHERE o_orderkey % 50 = 1
+UNION ALL SELECT *, -1 FROM o WHERE o_orderkey % 50 = 2""",
+)
 def canonical_read_back(spark, folder):
+    """A stored copy in which rows are missing, changed and doubled, against the rows that were meant."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("o_orderstatus"))
     target = scratch(spark, "orders")
-    sinks.write_canonical(orders, target, partitions=["o_orderstatus"], order="o_orderkey")
+    at = F.col("o_orderkey") % 50
+    price = F.when(at == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    broken = orders.where(at != 0).withColumn("o_totalprice", price).unionByName(orders.where(at == 2))
+    sinks.write_canonical(broken, target, partitions=["o_orderstatus"], order="o_orderkey")
     return sinks.read_back_difference(orders, target)
 
 
@@ -167,16 +178,22 @@ def core_interval_rows(spark, folder):
     return found.select("hole_id", "section_no", "tray_index", "sample_start", "sample_end", F.round("depth_from_m", 6).alias("depth_from_m"), F.round("depth_to_m", 6).alias("depth_to_m"), "thumbnail_path")
 
 
-@query("signal_rows", """SELECT CASE WHEN vec_id % 5 = 4 THEN 'metadata_only' ELSE 'complete' END AS status, count(*) AS n, CAST(sum(CASE WHEN vec_id % 5 < 4 THEN 64 ELSE 0 END) AS BIGINT) AS channels FROM embeddings GROUP BY 1""")
+@query(
+    "signal_rows",
+    """SELECT 'h' || label AS hole_id, 's' || vec_id AS signal_name, CASE WHEN vec_id % 5 < 4 THEN vec_id END AS sample_no, CASE WHEN vec_id % 5 = 4 THEN 'metadata_only' ELSE 'complete' END AS status,
+CASE WHEN vec_id % 5 < 4 THEN CAST(vec_id AS DOUBLE) + 1 END AS depth_from_m, CASE WHEN vec_id % 5 < 4 THEN round(CAST(embedding[64] AS DOUBLE), 6) END AS last, CASE WHEN vec_id % 5 < 4 THEN 64 ELSE 0 END AS channels FROM embeddings""",
+)
 def signal_rows(spark, folder):
     s = spectra(spark, folder)
     log = F.col("vec_id").cast("string")
-    listed = s.select(F.lit("h").alias("hole_id"), log.alias("log_id"), F.concat(F.lit("s"), log).alias("signal_name"), F.lit("spectrum").alias("signal_type"), F.when(F.col("vec_id") % 5 != 4, "complete").alias("status"), F.lit("nm").alias("channel_units"))
-    values = s.select(log.alias("log_id"), F.lit(0).cast("long").alias("sample_no"), "values")
+    hole = F.concat(F.lit("h"), F.col("label").cast("string")).alias("hole_id")
+    listed = s.select(hole, log.alias("log_id"), F.concat(F.lit("s"), log).alias("signal_name"), F.lit("spectrum").alias("signal_type"), F.when(F.col("vec_id") % 5 != 4, "complete").alias("status"), F.lit("nm").alias("channel_units"))
+    values = s.select(log.alias("log_id"), F.col("vec_id").alias("sample_no"), "values")
     none = values.where("false").select("log_id", "sample_no", F.col("values").cast("array<double>").alias("values"))
-    axis = readings(spark, folder).select(F.lit("h").alias("hole_id"), F.lit(0).cast("long").alias("sample_no"), F.lit(1.0).alias("depth_from_m"), F.lit(2.0).alias("depth_to_m")).distinct()
+    axis = s.select(hole, F.col("vec_id").alias("sample_no"), (F.col("vec_id") + 1.0).alias("depth_from_m"), (F.col("vec_id") + 2.0).alias("depth_to_m"))
     rows = sinks.signal_rows(listed, values, none, axis)
-    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("values"), F.lit(0)) * (F.col("status") == "complete").cast("int")).alias("channels"))
+    channels = F.when(F.col("values").isNotNull(), F.size("values")).otherwise(0).alias("channels")
+    return rows.select("hole_id", "signal_name", "sample_no", "status", "depth_from_m", F.round(F.get("values", F.lit(63)), 6).alias("last"), channels)
 
 
 @query("wide_spectra", "SELECT vec_id, round(CAST(CASE WHEN vec_id % 2 = 0 THEN embedding[1] END AS DOUBLE), 6) AS wl_380_nm, round(CAST(CASE WHEN vec_id % 2 = 0 THEN embedding[2] ELSE embedding[1] END AS DOUBLE), 6) AS wl_384p5_nm FROM embeddings")
@@ -217,21 +234,21 @@ def exported_and_imported(spark, folder):
     return sinks.import_table(spark, target, schema, expected).drop("o_custkey")
 
 
-@query("written_anomalies", f"WITH {READINGS_SQL} SELECT CAST(hole AS VARCHAR) AS hole_id, count(DISTINCT floor(depth_h / 120)) AS n, count(DISTINCT floor(depth_h / 120)) AS lines FROM readings GROUP BY 1")
+@query(
+    "written_anomalies",
+    f"WITH {SCALED_SQL} SELECT CAST(hole AS VARCHAR) AS hole_id, depth_from_m, round(robust_distance, 5) AS robust_distance, round(max_z, 5) AS max_z, round(max(max_z) OVER (PARTITION BY hole), 5) AS hole_max_z FROM normed",
+)
 def written_anomalies(spark, folder):
-    """Interval scores written as Parquet and JSON lines per hole, read back and counted."""
-    from stratalog.plans.score_queries import scaled_table
-
+    """Interval scores written as Parquet and JSON lines, with the hole table: all three read back and joined."""
     target = scratch(spark, "anomalies")
     scored, _ = scaled_table(spark, folder)
     intervals = scored.select(F.col("hole").cast("string").alias("hole_id"), "depth_from_m", "depth_to_m", "robust_distance", "max_z")
     holes = intervals.groupBy("hole_id").agg(F.max("max_z").alias("max_z"))
     sinks.write_anomalies(intervals, holes, target)
-    keyed = "hole_id string"
-    table_ = spark.read.parquet(f"{target}/anomalies").select(F.col("hole_id").cast("string").alias("hole_id"))
-    lines = spark.read.schema(f"depth_from_m double, {keyed}").json(f"{target}/anomalies_json")
-    count = lambda df, name: df.groupBy("hole_id").agg(F.count(F.lit(1)).alias(name))
-    return count(table_, "n").join(count(lines, "lines"), "hole_id")
+    table_ = spark.read.parquet(f"{target}/anomalies").select("hole_id", "depth_from_m", F.round("robust_distance", 5).alias("robust_distance"))
+    lines = spark.read.schema("hole_id string, depth_from_m double, max_z double").json(f"{target}/anomalies_json")
+    most = spark.read.parquet(f"{target}/hole_anomalies").select("hole_id", F.round("max_z", 5).alias("hole_max_z"))
+    return table_.join(lines.withColumn("max_z", F.round("max_z", 5)), ["hole_id", "depth_from_m"]).join(most, "hole_id")
 
 
 @query("replaced_measurements", "SELECT o_orderkey, o_custkey AS hole_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")

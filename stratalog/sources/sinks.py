@@ -134,17 +134,17 @@ def asset_rows(files: DataFrame, logs: DataFrame, datasets: DataFrame) -> DataFr
 
 
 def write_anomalies(intervals: DataFrame, holes: DataFrame, root: str) -> None:
-    """Interval and hole scores: Parquet ordered by hole and depth, JSON lines per hole, and the hole table.
+    """Interval and hole scores: Parquet and JSON lines, both ordered by hole and depth, and the hole table.
 
     Footers of the ordered Parquet files prune to a hole without a folder per
-    hole. Per-hole JSON lines stand in for one nested document, which would
-    gather every interval in a single row.
+    hole. JSON lines, each with its hole, stand in for one nested document,
+    which would gather every interval in a single row.
     """
     kept = settle_table(intervals, "anomalies")
+    # ranges of (hole, depth): a heavy hole is written by several tasks
     kept.repartitionByRange("hole_id", "depth_from_m").sortWithinPartitions("hole_id", "depth_from_m").write.parquet(f"{root}/anomalies")
-    # a heavy hole is written by several tasks
-    placed = kept.repartition(F.col("hole_id"), F.floor(F.col("depth_from_m") / 10_000)).sortWithinPartitions("hole_id", "depth_from_m")
-    placed.write.partitionBy("hole_id").option("ignoreNullFields", "false").json(f"{root}/anomalies_json")
+    placed = kept.repartitionByRange("hole_id", "depth_from_m").sortWithinPartitions("hole_id", "depth_from_m")
+    placed.write.option("ignoreNullFields", "false").json(f"{root}/anomalies_json")
     holes.write.parquet(f"{root}/hole_anomalies")
 
 

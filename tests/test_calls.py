@@ -71,8 +71,8 @@ def test_log_copy_choice(spark):
         [("h", 0, "x", 99.0, 99.0, "A"), ("h", 1, "p", 1.0, 2.0, "A"), ("h", 1, "q", 1.0, 2.0, "A"), ("h", 1, "q", 2.0, 3.0, "B"), ("h", 2, "r", 1.0, 2.0, "A"), ("h", 1, "p", 4.0, 6.0, "C")],
         "hole string, name_rank int, copy string, start double, end double, value string",
     )
-    bands = spark.createDataFrame([("h", 0.0, 5.0)], "hole string, depth_from double, depth_to double")
-    assert rows(calls.choose_log_copy(logs, bands, key=["hole"])) == [("h", 1, "q", 2)]
+    bands = spark.createDataFrame([("h", 0.0, 5.0), ("h", 5.0, 100.0), ("h", 200.0, 300.0)], "hole string, depth_from double, depth_to double")
+    assert rows(calls.choose_log_copy(logs, bands, key=["hole"])) == [("h", 0.0, 5.0, 1, "q", 2), ("h", 5.0, 100.0, 0, "x", 1)]
 
 
 def test_interval_bound_is_no_less_than_the_calls(spark):
