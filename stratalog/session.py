@@ -6,8 +6,10 @@ session it should act on.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,26 @@ def build_session(app: str = "stratalog", master: str | None = None, **conf) ->
     }
     for name, value in {**defaults, **conf}.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, so that it need not be installed on them; once per application."""
+    if spark.conf.get("stratalog.shipped", None):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # the driver's own folder: Spark serves the archive to the executors from there
+    archive = os.path.join(tempfile.mkdtemp(prefix="stratalog-"), "stratalog.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as package:
+        for folder, _, names in os.walk(os.path.join(root, "stratalog")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    package.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("stratalog.shipped", "true")
 
 
 def _limit(spark: SparkSession, key: str, default: int) -> int:
