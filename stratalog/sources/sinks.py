@@ -180,14 +180,34 @@ def import_table(spark: SparkSession, path: str, schema: T.StructType, expected_
 
 
 def replace_measurements(incoming: DataFrame, holes: DataFrame, path: str) -> tuple[int, int]:
-    """Write the rows of known holes in place of the table; (written, skipped)."""
+    """Write the rows of known holes as the next version of the table; (written, skipped).
+
+    Versions lie side by side below ``path``. ``current_measurements`` reads the last that was
+    written to its end, so a failed job leaves the table as it was.
+    """
+    spark = incoming.sparkSession
     known = incoming.join(holes.select("hole_id"), "hole_id", "left_semi")
     total = incoming.count()
-    known.write.mode("overwrite").parquet(path)
-    written = incoming.sparkSession.read.parquet(path).count()
+    target = f"{path}/version_{max(_versions(spark, path, complete=False), default=0) + 1:09d}"
+    known.write.mode("errorifexists").parquet(target)
+    written = spark.read.parquet(target).count()
     return written, total - written
 
 
+def current_measurements(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version that ``replace_measurements`` wrote."""
+    return spark.read.parquet(f"{path}/version_{max(_versions(spark, path, complete=True)):09d}")
+
+
+def _versions(spark: SparkSession, path: str, *, complete: bool) -> list[int]:
+    # one entry per version; the job's own marker tells a complete one
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = jvm.Path(f"{path}/version_*" + ("/_SUCCESS" if complete else ""))
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    places = [status.getPath() for status in found or []]
+    return [int((p.getParent() if complete else p).getName().removeprefix("version_")) for p in places]
+
+
 def written_summary(states: DataFrame, path: str, fields: Sequence[str]) -> None:
     """Summary rows of complete holes as CSV, ordered by hole."""
     states.select(*fields).orderBy("hole_id").write.mode("overwrite").option("header", "true").csv(path)
