@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.arrays import explode_present
 from stratalog.operators.ordered import before, lag, lead, number, onward, ordered_scan, upto
-from stratalog.session import maybe_broadcast
 
 HALF_OPEN, CLOSED = "half_open", "closed"
 
@@ -302,4 +301,4 @@ def touching_range(df: DataFrame, *, lo: str = "depth_from_m", hi: str = "depth_
 
 
 def lookup_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    return df.join(maybe_broadcast(small), list(on), how)
+    return df.join(small, list(on), how)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.ordered import ordered_scan, upto
-from stratalog.session import group_rows, group_sizes, maybe_broadcast
+from stratalog.session import group_rows, group_sizes
 
 
 def exact_percentiles(
@@ -70,7 +70,9 @@ def _bracketed(clean: DataFrame, by: list[str], probabilities: list[float], accu
     wanted = sketch.select(*by, "n", F.array(*brackets).alias("_brackets"))
 
     renamed = [f"_g_{b}" for b in by]
-    side = maybe_broadcast(wanted.select(*[F.col(b).alias(r) for b, r in zip(by, renamed)], "n", "_brackets"))
+    side = wanted.select(*[F.col(b).alias(r) for b, r in zip(by, renamed)], "n", "_brackets")
+    # one row where there are no groups; otherwise the planner knows the bytes
+    side = side if by else F.broadcast(side)
     match = F.lit(True)
     for b, r in zip(by, renamed):
         match = match & F.col(b).eqNullSafe(F.col(r))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratalog.functions.arrays import explode_present
 from stratalog.functions.geo import great_circle_km
 from stratalog.functions.text import fold_name
-from stratalog.session import maybe_broadcast, settle_table
+from stratalog.session import settle_table
 
 
 def release_catalogue(active: DataFrame, members: DataFrame, revisions: DataFrame, boreholes: DataFrame, collars: DataFrame, axes: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def upsert(current: DataFrame, incoming: DataFrame, *, key: Sequence[str]) -> Da
 
 def remap(df: DataFrame, ids: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Ids replaced through a map table (old, new); ids without entry stay."""
-    small = maybe_broadcast(ids.select("old", "new"))
+    small = ids.select("old", "new")
     for c in columns:
         lookup = small.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
         df = df.join(lookup, F.col(c) == F.col("_old"), "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")

@@ -201,8 +201,8 @@ def one_log_per_channel_count(spark, folder):
     return profiles.first_per_key(spectral, key=["dataset_revision_id", "channels"], order=["log_id"])
 
 
-def _values(spark, folder):
-    s = scan(spark, folder)
+def _values(spark, folder, hole):
+    s = scan(spark, folder, hole)
     return s.select(
         F.col("hole").alias("log_id"), F.col("hole").alias("axis_id"), "sample_no", F.col("depth_h").alias("depth_m"), F.when(F.col("k") % 5 > 0, F.col("value")).alias("value_numeric"), F.lit(None).cast("string").alias("value_text")
     )
@@ -213,8 +213,8 @@ r AS (SELECT s.sample_no, CASE WHEN k % 5 > 0 THEN value END AS value_numeric, C
 p AS (SELECT *, row_number() OVER (ORDER BY sample_no) AS n, count(*) OVER () AS c FROM r)
 SELECT sample_no, value_numeric, status, CASE WHEN c > 20 THEN (SELECT sample_no FROM p WHERE n = 20) END AS next_after FROM p WHERE n <= 20""")
 def scalar_values_page(spark, folder):
-    values = _values(spark, folder)
-    first = values.agg(F.min("log_id")).first()[0]
+    first = table(spark, folder, "events").agg(F.min("user_id")).first()[0]
+    values = _values(spark, folder, first)
     logs = readings(spark, folder).select(F.col("hole").alias("log_id"), F.col("hole").alias("axis_id")).distinct().withColumns({"availability_status": F.lit("payload_present"), "binding_status": F.lit("verified")})
     page = log_values(values, logs, log_id=first, axis_id=first, start=50, end=600, after=3, limit=20)
     return page.select("sample_no", "value_numeric", "status", "next_after")
@@ -223,8 +223,8 @@ def scalar_values_page(spark, folder):
 @query("profile_values_page", f"""WITH {SCAN_SQL}, h AS (SELECT max(hole) AS h FROM scan), r AS (SELECT sample_no, value FROM scan JOIN h ON hole = h WHERE depth_h <= 400)
 SELECT sample_no, round(value, 6) AS first_channel, 'available_uncalibrated_profile' AS status FROM r ORDER BY sample_no LIMIT 10""")
 def profile_values_page(spark, folder):
-    s = scan(spark, folder)
-    last = s.agg(F.max("hole")).first()[0]
+    last = table(spark, folder, "events").agg(F.max("user_id")).first()[0]
+    s = scan(spark, folder, last)
     rows = s.select(F.col("hole").alias("log_id"), "sample_no", F.array("value", "value").alias("values"))
     page = profile_values(rows.where(F.col("log_id") == last), s.select(F.col("hole").alias("axis_id"), "sample_no", F.col("depth_h").alias("md_m")), log_id=last, axis_id=last, end=400, limit=10)
     return page.select("sample_no", F.round(F.get("values", F.lit(0)), 6).alias("first_channel"), "status")

@@ -45,9 +45,10 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """readings with ``sample_no`` 0..n-1 per hole in depth order."""
-    numbered = ordered_scan(readings(spark, folder), ["hole"], ["us", "event_id"], {"sample_no": number()})
+def scan(spark: SparkSession, folder: str, hole=None) -> DataFrame:
+    """readings with ``sample_no`` 0..n-1 per hole in depth order; of one hole only, if given."""
+    rows = readings(spark, folder) if hole is None else readings(spark, folder).where(F.col("hole") == hole)
+    numbered = ordered_scan(rows, ["hole"], ["us", "event_id"], {"sample_no": number()})
     return numbered.withColumn("sample_no", F.col("sample_no") - 1)
 
 

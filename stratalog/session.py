@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 GROUP_ROWS_KEY = "stratalog.groupRows"
 GROUP_ROWS = 2_000_000
 
-# Most rows of a side that may be broadcast, checked before the hint is given.
-BROADCAST_ROWS_KEY = "stratalog.broadcastRows"
-BROADCAST_ROWS = 200_000
-
 
 def build_session(app: str = "stratalog", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings this library expects; cluster settings win."""
@@ -70,10 +66,6 @@ def group_rows(spark: SparkSession) -> int:
     return _limit(spark, GROUP_ROWS_KEY, GROUP_ROWS)
 
 
-def broadcast_rows(spark: SparkSession) -> int:
-    return _limit(spark, BROADCAST_ROWS_KEY, BROADCAST_ROWS)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where none is set and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -117,11 +109,6 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave the join to the planner."""
-    return F.broadcast(df) if fits(df, broadcast_rows(df.sparkSession)) else df
-
-
 def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
     """(rows in the largest group, rows in all), from one map-side combined count."""
     if not by:
