@@ -1,5 +1,6 @@
 """Awkward documents that every operator is to take."""
 
+import contextlib
 import random
 import re
 
@@ -43,6 +44,17 @@ def awkward(spark):
     return [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, long, "b"), (5, long + " end", "b"), (6, prose(2, 120), "c"), (6, prose(2, 120), "c"), (7, prose(2, 120), None), (None, prose(3, 90), "c"), (None, prose(3, 90), "c"), (8, "one two", "c"), (9, "One  two", "c"), (10, "wordwithoutspaces" * 4000, "a")]
 
 
+@contextlib.contextmanager
+def small_batches(spark, rows):
+    """Arrow batches of at most ``rows`` rows, so that what a task keeps between batches is used."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def components(ids, edges):
     parent = {i: i for i in ids}
 

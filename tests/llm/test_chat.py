@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_helpers import small_batches
 from stratalog.llm import chat
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ def turns_of(spark, rows):
 def test_digests_of_awkward_conversations(spark):
     long = "word " * 50_000
     rows = [(1, 0, "user", "hi", "x", "y"), (1, 1, "assistant", None, "x", "y"), (1, 2, "assistant", long, "x", "y"), (2, None, None, "", None, None), (2, 0, "assistant", "<|im_end|>", "x", "y"), (None, 0, "user", "a", "", ""), (None, 0, "user", "a", "", "")]
-    found = {r.conv_id: r for r in chat.conversation_digests(chat.format_turns(turns_of(spark, rows))).collect()}
+    with small_batches(spark, 2):
+        found = {r.conv_id: r for r in chat.conversation_digests(chat.format_turns(turns_of(spark, rows))).collect()}
     ordered = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or ""))
     for conv in (1, 2, None):
         mine = [(r[2] or "", r[3] or "", r[2]) for r in ordered if r[0] == conv]
