@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import bpe, chat, lsh_forest, mixing, passages, pstable, quality_rules, shards, urls, warc
+from stratalog.llm import bpe, burst_trie, chat, decontamination, lsh_forest, mixing, passages, pstable, quality_rules, shards, urls, warc, whitening
 from stratalog.plans.registry import query
 from stratalog.session import scratch, table
 
@@ -178,3 +178,73 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     turns = turns.withColumn("parts", chat.text_parts(F.col("text")))
     return chat.conversation_digests(chat.format_turns(turns))
+
+
+TRIE_SQL = """
+WITH texts AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM texts),
+counts AS (SELECT conv_id, max(place) AS n FROM turns GROUP BY conv_id),
+bits AS (SELECT conv_id, n, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda i: CAST((ord(c) >> i) & 1 AS BIGINT)))) AS b FROM counts),
+crc AS (SELECT conv_id, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT) % 6 AS h FROM bits),
+wanted AS (SELECT c.*, c.conv_id - c.conv_id % 100 AS base, least(h, coalesce(b.n, 0)) AS taken FROM crc c LEFT JOIN counts b ON b.conv_id = c.conv_id - c.conv_id % 100),
+rebuilt AS (
+  SELECT w.conv_id, t.place, t.role, t.text FROM wanted w JOIN turns t ON t.conv_id = w.base AND t.place <= w.h
+  UNION ALL SELECT w.conv_id, t.place - w.h + w.taken, t.role, t.text FROM wanted w JOIN turns t ON t.conv_id = w.conv_id AND t.place > w.h),
+steps AS (SELECT conv_id, place, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) AS step, length(text) AS chars FROM rebuilt),
+prefixes AS (
+  SELECT conv_id, place AS depth, chars, list(step) OVER (PARTITION BY conv_id ORDER BY place) AS path, place = count(*) OVER (PARTITION BY conv_id) AS ends FROM steps
+  UNION ALL SELECT conv_id, 0, 0, [], conv_id NOT IN (SELECT conv_id FROM steps) FROM wanted),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS gain,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256, count(*) FILTER (WHERE ends) AS n_ends
+  FROM prefixes GROUP BY path, depth),
+families AS (SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.path[:n.depth] = n.path) AS n_children FROM nodes n),
+lines AS (SELECT path[:d] AS path, d AS depth, gain, CAST(n_children = 0 AS INTEGER) AS leaf FROM (SELECT *, unnest(range(depth + 1)) AS d FROM families)),
+sums AS (SELECT path, depth, sum(leaf) AS n_leaves, sum(gain) AS saved_tokens FROM lines GROUP BY path, depth)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.n_ends, f.ends_sha256
+FROM families f JOIN sums s ON s.path = f.path AND s.depth = f.depth LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.path = f.path[:f.depth - 1] AND f.depth > 0
+"""
+
+
+@query("op11_conversation_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, lengths = burst_trie.with_shared_openings(burst_trie.numbered_turns(table(spark, folder, "conversations")))
+    return burst_trie.trie(turns, lengths)
+
+
+LEAKS_SQL = r"""
+WITH worded AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS win FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (SELECT r, s, size, array_to_string(w[s : s + size - 1], ' ') AS win FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM worded, sizes WHERE len(w) >= size)),
+met AS (SELECT r, s, x.size, item_id FROM runs x JOIN windows i ON x.win = i.win AND x.size = i.size),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS p FROM (SELECT DISTINCT r, s, size FROM met)) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM met WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
+"""
+
+
+@query("op12_benchmark_decontamination", LEAKS_SQL)
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    model = whitening.fit(embeddings)
+    whitened = whitening.apply(embeddings, model)
+    explained = F.array(*[F.lit(share).cast("double") for share in (model.explained() if model else [])]).cast("array<double>")
+    error = F.lit(whitening.identity_error(whitened, model)).cast("double")
+    each = whitened.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"), error.alias("identity_error"))

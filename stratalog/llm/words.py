@@ -18,6 +18,11 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Everything but ASCII letters, digits and bytes of characters outside ASCII.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[0x80:] = False
+NOT_ALNUM[ord("0") : ord("9") + 1] = NOT_ALNUM[ord("A") : ord("Z") + 1] = NOT_ALNUM[ord("a") : ord("z") + 1] = False
+
 SLICE_BYTES = 1 << 20
 _BYTE = np.random.default_rng(20260701).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -53,11 +58,11 @@ def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words of one slice: byte ranges in order, and each row's first word and number of words."""
+    """The words of one slice, the runs of bytes outside ``between``: byte ranges in order, and each row's first word and number of words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES):
         self.data, self.offsets = data, offsets
-        inside = ~SPACES[data]
+        inside = ~between[data]
         opens, closes = inside.copy(), inside.copy()
         if len(data):
             cut = offsets[(offsets > 0) & (offsets < len(data))]
