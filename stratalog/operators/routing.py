@@ -48,7 +48,7 @@ def case_evidence(e: DataFrame) -> DataFrame:
     """``cases`` and ``unresolved`` of failed holes from their evidence columns.
 
     One row per hole: plan ('12', '13' or null), hole_id, has_identity_file, dataset_count,
-    distinct_sample_counts, membership_failure, virtual_section ('equal', 'tray_local', 'nulls', 'other'),
+    distinct_sample_counts, membership_failure, virtual_section ('equal', 'tray_local', 'nulls', 'other', joined by + where logs differ),
     literal_text_errors, profile_nulls, profile_reference ('ok', 'invalid'), interval_aliases ('none', 'identical', 'different'),
     image_logs ('single', 'identical', 'different'), float32_bounds, wide_bounds, resets ('none', 'reviewed', 'other'),
     unavailable_profile ('none', 'clean', 'contradicting'), profile_float32 ('unasked', 'equal', 'different'), unknown_axes.
@@ -62,10 +62,10 @@ def case_evidence(e: DataFrame) -> DataFrame:
     cases = F.array(
         F.col("plan"),
         on(~planned & odd_name, "01"),
-        on(single & (F.col("virtual_section") == "tray_local"), "02"),
+        on(single & F.col("virtual_section").contains("tray_local"), "02"),
         on(single & (F.col("interval_aliases") == "identical"), "03"),
         on(single & (F.col("image_logs") == "identical"), "04"),
-        on(single & ((F.col("virtual_section") == "nulls") | ((F.col("profile_nulls") > 0) & (F.col("profile_reference") != "invalid"))), "05"),
+        on(single & (F.col("virtual_section").contains("nulls") | ((F.col("profile_nulls") > 0) & (F.col("profile_reference") != "invalid"))), "05"),
         on(single & ((F.col("float32_bounds") > 0) | (F.col("profile_float32") == "equal")), "06"),
         on(single & (F.col("resets") == "reviewed"), "07"),
         on(single & (F.col("literal_text_errors") > 0), "08"),
@@ -75,7 +75,7 @@ def case_evidence(e: DataFrame) -> DataFrame:
     )
     unresolved = F.array(
         on(~planned & multi & ~multi_known, "source membership needs a diagnosis"),
-        on(single & (F.col("virtual_section") == "other"), "unrecognised section numbering"),
+        on(single & F.col("virtual_section").contains("other"), "unrecognised section numbering"),
         on(single & (F.col("profile_reference") == "invalid"), "invalid profile reference"),
         on(single & (F.col("interval_aliases") == "different"), "interval logs of one name differ"),
         on(single & (F.col("image_logs") == "different"), "thumbnail logs differ"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalog.functions import numbers, text
-from stratalog.operators import quality, release, routing
+from stratalog.operators import evidence, quality, release, routing
 from stratalog.plans.call_queries import DAILY_SQL, daily
 from stratalog.plans.registry import query
 from stratalog.plans.views import INTERVALS_SQL, MEMBERS_SQL, SCAN_SQL, SITES_SQL, intervals as ranges, km_sql, members, scan, sites, spectra
-from stratalog.session import table
+from stratalog.session import settle_table, table
 
 # ---------------------------------------------------------------- rules
 
@@ -488,6 +488,75 @@ def special_case_routing(spark, folder):
     return routed.select(F.col("key").alias("hole_id"), F.array_join("cases", ",").alias("cases"), "status", "assigned_case")
 
 
+def case_sources(spark, folder):
+    """Source tables of one hole per order with as many samples as it has lines; every kind of fault on some of them."""
+    holes = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    k, n = F.col("k"), F.col("n")
+    named = F.when(k % 43 == 2, F.concat(F.lit("a b"), k.cast("string"))).otherwise(k.cast("string"))
+    holes = settle_table(holes.withColumn("hole_id", named), "case-holes")
+    i = F.col("sample_no")
+    samples = holes.withColumn("sample_no", F.explode(F.sequence(F.lit(0), n - 1)))
+    fallen = ((k % 11 == 3) & (i >= 3)) | ((k % 11 == 4) & (i >= 1))
+    samples = samples.withColumn("depth", 1_000_000.0 + i - F.when(fallen, 10.0).otherwise(0.0))
+    tray = F.expr("sample_no div 3")
+    trays = samples.groupBy("hole_id", "k", "n", tray.alias("tray_no")).agg(F.min("sample_no").alias("lo"), F.max("sample_no").alias("hi"), F.min_by("depth", "sample_no").alias("top"), F.max_by("depth", "sample_no").alias("bottom"))
+    section = F.when(k % 7 == 0, i % 3 + 1).when((k % 7 == 1) & (i == 0), None).when((k % 7 == 2) & (k % 3 == 0) & (i == n - 1), i + 2).otherwise(i + 1)
+    reference = F.when((k % 5 == 1) & (i == 0), "null").when((k % 5 == 2) & (k % 4 == 0) & (i == 0), "inf").otherwise((F.col("depth") + 0.5).cast("string"))
+    values = samples.select("hole_id", F.lit("v").alias("log_id"), F.lit("virtual_section").alias("log_name"), "sample_no", F.coalesce(section.cast("string"), F.lit("")).alias("value"))
+    values = values.unionByName(samples.select("hole_id", F.lit("p").alias("log_id"), F.lit("prof_min").alias("log_name"), "sample_no", reference.alias("value")))
+    logs = [("t", "Tray", "a", F.lit(True)), ("s", "Section", "b", F.lit(True)), ("t2", "Tray", "a", k % 13 == 1), ("s2", "Section", "c", k % 13 == 2)]
+    logs = F.array(*[F.when(there, F.struct(*[F.lit(v).alias(c) for v, c in zip(log, ("log_id", "log_name", "sha256"))])) for *log, there in logs])
+    logs = holes.select("hole_id", F.explode(logs).alias("log")).where("log is not null").select("hole_id", "log.*")
+    image = F.struct(F.lit("i1").alias("log_id"), F.lit(1).alias("copy"))
+    second = F.when((k % 17).isin(1, 2, 4) | ((k % 17 == 3) & (F.col("hi") < n - 1)), F.struct(F.lit("i2").alias("log_id"), F.lit(2).alias("copy")))
+    third = F.when((k % 17 == 4) & (F.col("tray_no") == 0), F.struct(F.lit("i2").alias("log_id"), F.lit(3).alias("copy")))
+    images = trays.withColumn("image", F.explode(F.array(image, second, third))).where("image is not null").select(
+        "hole_id", "image.log_id", k.alias("dataset_id"), F.col("tray_no").alias("sample_no"),
+        (F.col("top") + F.when(k % 19 == 1, 0.02).when(k % 19 == 2, 1.0).otherwise(0.0)).alias("depth_from"), F.col("bottom").alias("depth_to"), F.col("top").alias("start_value"), F.col("bottom").alias("end_value"),
+        F.when((k % 17 == 2) & (F.col("image.copy") == 2) & (F.col("tray_no") == 0), "x").otherwise(F.col("tray_no").cast("string")).alias("sha256"),
+    )
+    reviewed = holes.where("k % 11 = 3 and k % 2 = 1").select("hole_id", F.lit(3).alias("sample_no")).unionByName(holes.where("k % 11 = 4").select("hole_id", F.lit(1).alias("sample_no")))
+    minimum = F.col("depth") + 0.5 + F.when((k % 3 == 0) & (i == n - 1), 1.0).otherwise(0.0)
+    message = F.when(k % 47 == 1, "Profile positive minima differ").when(k % 47 == 2, "SpectralLogCollection").when(k % 47 == 3, "PermissionError: x")
+    return {
+        "holes": holes.select("hole_id", "k", F.when(k % 41 == 1, "12").when(k % 41 == 2, "13").alias("plan"), (k % 43 == 1).alias("has_identity_file")),
+        "datasets": holes.select("hole_id", F.explode(F.when(k % 37 == 1, F.array(n, n)).when(k % 37 == 2, F.array(n, n + 1)).otherwise(F.array(n))).alias("samples")),
+        "sections": samples.select("hole_id", (i + 1).alias("section_no"), tray.alias("tray_no"), i.alias("lo"), i.alias("hi")),
+        "trays": trays.select("hole_id", "tray_no", "lo", "hi"), "logs": logs, "values": values, "images": images, "reviewed_resets": reviewed,
+        "positions": samples.select("hole_id", "sample_no", "depth"), "minima": samples.select("hole_id", "sample_no", minimum.alias("minimum")),
+        "text_rows": holes.select("hole_id", F.lit("x").alias("log_id"), F.explode(F.array(F.array(*[F.lit("0")] * 3), F.when(k % 29 == 1, F.array(*[F.lit("0")] * 4)).otherwise(F.array(*[F.lit("0")] * 3)))).alias("fields")),
+        "profiles": holes.select("hole_id", F.when(k % 23 <= 2, "unavailable").otherwise("available").alias("status"), F.lit("").alias("sha256"), F.lit(0).alias("nbytes"), F.when(k % 23 == 2, 3).otherwise(0).alias("records"), (k % 23 == 0).alias("file_there")),
+        "spectra": holes.select("hole_id", F.when(k % 31 == 1, F.array(F.lit(400.0), F.lit(2500.0))).otherwise(F.array(F.lit(380.0), F.lit(1000.0), F.lit(2500.0))).alias("wavelengths"), F.when(k % 31 == 2, "um").otherwise("nm").alias("unit")),
+        "failures": holes.select("hole_id", message.alias("message"), F.when(k % 53 == 1, 2).otherwise(0).alias("unexplained_payload_errors"), F.when(k % 59 == 1, F.array(F.lit("01"))).alias("applied_cases")),
+    }
+
+
+@query(
+    "special_cases_from_sources",
+    """WITH h AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+e AS (SELECT *, k % 41 IN (1, 2) AS planned, k % 37 IN (1, 2) AS multi, k % 37 = 1 OR k % 47 = 2 AS known,
+  CASE WHEN k % 7 = 0 AND n > 3 THEN 'tray_local' WHEN k % 7 = 1 THEN CASE WHEN n = 1 THEN 'other' ELSE 'nulls' END WHEN k % 7 = 2 AND k % 3 = 0 THEN 'other' ELSE 'equal' END AS vs,
+  (k % 5 = 1 AND n = 1) OR (k % 5 = 2 AND k % 4 = 0) AS invalid,
+  CASE WHEN k % 11 = 3 AND n > 3 THEN CASE WHEN k % 2 = 1 THEN 'reviewed' ELSE 'other' END WHEN k % 11 = 4 AND n > 1 THEN 'other' ELSE 'none' END AS resets,
+  CASE WHEN k % 17 = 1 THEN 'identical' WHEN k % 17 IN (2, 4) OR (k % 17 = 3 AND n > 3) THEN 'different' ELSE 'single' END AS images FROM h),
+f AS (SELECT *, NOT planned AND NOT multi AS single, k % 47 = 1 AND NOT (invalid OR k % 3 = 0) AS minima FROM e),
+c AS (SELECT *, list_sort(list_filter([CASE WHEN k % 41 = 1 THEN '12' WHEN k % 41 = 2 THEN '13' END, CASE WHEN NOT planned AND k % 43 IN (1, 2) THEN '01' END, CASE WHEN single AND vs = 'tray_local' THEN '02' END,
+   CASE WHEN single AND k % 13 = 1 THEN '03' END, CASE WHEN single AND images = 'identical' THEN '04' END, CASE WHEN single AND (vs = 'nulls' OR (k % 5 = 1 AND NOT invalid)) THEN '05' END,
+   CASE WHEN single AND (k % 19 = 1 OR minima) THEN '06' END, CASE WHEN single AND resets = 'reviewed' THEN '07' END, CASE WHEN single AND k % 29 = 1 THEN '08' END, CASE WHEN single AND k % 31 IN (1, 2) THEN '09' END,
+   CASE WHEN single AND k % 23 = 1 THEN '10' END, CASE WHEN NOT planned AND multi AND known THEN '11' END], lambda x: x IS NOT NULL)) AS cases,
+  CAST(NOT planned AND multi AND NOT known AS INT) + CAST(single AND vs = 'other' AS INT) + CAST(single AND invalid AS INT) + CAST(single AND k % 13 = 2 AS INT) + CAST(single AND images = 'different' AS INT)
+   + CAST(single AND k % 19 = 2 AS INT) + CAST(single AND resets = 'other' AS INT) + CAST(single AND k % 23 IN (0, 2) AS INT) + CAST(single AND k % 47 = 1 AND NOT minima AS INT) + CAST(k % 53 = 1 AS INT) + CAST(k % 47 = 3 AS INT) AS held FROM f),
+d AS (SELECT *, held + CAST(len(cases) = 0 AS INT) + CAST(k % 59 = 1 AND len(list_filter(cases, lambda x: x <> '01')) = 0 AS INT) AS unresolved FROM c)
+SELECT k AS hole_id, array_to_string(cases, ',') AS cases, unresolved, CASE WHEN unresolved > 0 THEN 'needs_review' ELSE 'routed' END AS status,
+ CASE WHEN unresolved = 0 THEN CASE WHEN list_contains(cases, '13') THEN '13' WHEN list_contains(cases, '12') THEN '12' WHEN list_contains(cases, '11') THEN '11' ELSE coalesce(list_filter(cases, lambda x: x <> '01')[1], '01') END END AS assigned_case FROM d""",
+)
+def special_cases_from_sources(spark, folder):
+    sources = case_sources(spark, folder)
+    routed = routing.assign_case(routing.case_evidence(evidence.hole_evidence(sources)))
+    keys = sources["holes"].select("hole_id", "k")
+    return routed.join(keys, "hole_id").select(F.col("k").alias("hole_id"), F.array_join("cases", ",").alias("cases"), F.size("unresolved").alias("unresolved"), "status", "assigned_case")
+
+
 @query(
     "cuttings_selection",
     """WITH d AS (SELECT o_custkey AS hole_id, o_orderkey AS dataset_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || '_Cuttings2' ELSE CAST(o_custkey AS VARCHAR) END AS dataset_name FROM orders WHERE o_orderstatus = 'P'),
