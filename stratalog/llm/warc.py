@@ -217,13 +217,21 @@ def index_archives(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.select(path).mapInArrow(run, "path string, offset long, length long")
 
 
-READ_BLOCK = 4 << 20
+#: Bytes of records read together, and at most by one task.
+READ_BLOCK, READ_TASK = 4 << 20, 128 << 20
 _READ = "page_id long, url string, record_type string, refers_to long, payload binary, stated_bytes long, stated_digest string"
 
 
 def read_records(ranges: DataFrame) -> DataFrame:
-    """Read each range of ``ranges`` (path, offset, length) on its own; neighbouring records go to one task."""
-    dealt = ranges.repartition("path", F.expr(f"offset div {READ_BLOCK}")).sortWithinPartitions("path", "offset")
+    """Read each range of ``ranges`` (path, offset, length) on its own; neighbouring records go to one task.
+
+    The number of tasks follows the bytes of the records, not those of the ranges.
+    """
+    ranges = settle_table(ranges, "warc-ranges")
+    size = ranges.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    shuffle = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    tasks = max(1, -(-size // READ_TASK), min(shuffle, -(-size // READ_BLOCK)))
+    dealt = ranges.repartition(tasks, "path", F.expr(f"offset div {READ_BLOCK}")).sortWithinPartitions("path", "offset")
     names = [f.split()[0] for f in _READ.split(", ")]
 
     def run(batches):
