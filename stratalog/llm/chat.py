@@ -11,7 +11,8 @@ number of backslashes and ``|`` gets one more backslash, which ``unescape`` take
 away; no formatted text can therefore open a control string, and nothing is lost.
 
 Defined results: null text is empty, null role is empty, a null list of parts
-has none; a part of unknown type is an error. Turns are ordered by turn (nulls
+has none, a null part is left out; a part of null or unknown type is an attachment
+without tokens, with a placeholder of its own (``other``). Turns are ordered by turn (nulls
 last), role and text, so ties and repeated rows have one order. Rows without a
 conversation id form one conversation. Further columns are ignored.
 """
@@ -32,7 +33,7 @@ TRAINED_ROLE = "assistant"
 
 _HIDE = re.compile(r"<(\\*)\|")
 _SHOW = re.compile(r"<\\(\\*)\|")
-_PLACE = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_PLACE = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
 
 
 def escape(text: str) -> str:
@@ -58,8 +59,9 @@ class PartVisitor:
         self.pieces: list[str] = []
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}", self.unknown)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part['type']}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.pieces.append(escape(part["text"] or ""))
@@ -75,8 +77,10 @@ class PartVisitor:
         self.attachments.append({"ordinal": ordinal, "type": kind, "ref": part["ref"], "tokens": max(0, units) * TOKENS_PER_UNIT[kind]})
         self.pieces.append(f"<|{kind}:{ordinal}|>")
 
-    def unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown content part {part['type']!r}")
+    def visit_other(self, part: dict) -> None:
+        ordinal = len(self.attachments)
+        self.attachments.append({"ordinal": ordinal, "type": part["type"], "ref": part["ref"], "tokens": 0})
+        self.pieces.append(f"<|other:{ordinal}|>")
 
 
 PARTS = "array<struct<type:string,text:string,ref:string,units:int>>"

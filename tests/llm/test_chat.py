@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import small_batches
@@ -49,6 +48,14 @@ def test_parts_become_ordered_placeholders(spark):
     assert first.attached_tokens == 562 and not first.in_loss
     assert second.in_loss and second.content_start == second.content_end
     assert chat.parse_turn(first.formatted) == ("user", "see <|")
-    bad = spark.createDataFrame([(1, 0, "user", [part("video", "x")])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
-    with pytest.raises(Exception, match="unknown content part"):
-        chat.format_turns(bad).collect()
+
+
+def test_null_and_unknown_parts(spark):
+    """A null part is left out; one of null or unknown type is an attachment without tokens."""
+    parts = [None, ("text", "a<|b", None, None), ("video", None, "v.mp4", 3), (None, "lost", "r", None), ("image", None, "i.png", None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "user", None), (1, 2, "user", [None])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    first, second, third = sorted(chat.format_turns(df).collect(), key=lambda r: r.turn)
+    assert first.formatted == "<|im_start|>assistant\na<\\|b<|other:0|><|other:1|><|image:2|><|im_end|>\n"
+    assert [(a.ordinal, a.type, a.ref, a.tokens) for a in first.attachments] == [(0, "video", "v.mp4", 0), (1, None, "r", 0), (2, "image", "i.png", 256)] and first.attached_tokens == 256
+    assert second.formatted == third.formatted == "<|im_start|>user\n<|im_end|>\n"
+    assert chat.parse_turn(first.formatted) == ("assistant", "a<|b")
