@@ -25,6 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stratalog.llm.words import free_name
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_CHARS = 1 << 16
 BATCH_IDS = 1 << 20
@@ -66,8 +68,8 @@ def encode_text(encoder: tiktoken.Encoding, text: str | None, size: int = PIECE_
 def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", *, keep: list[str] | None = None, rank_file: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """The columns ``keep`` (all, unless given) and ``ids``, an array of int, for every row."""
     keep = [c for c in (df.columns if keep is None else keep) if c != ids]
-    source = df.select(*[df[c] for c in keep], df[text].alias("__text"))
-    schema = T.StructType([*source.drop("__text").schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    source = df.select(*[df[c] for c in keep], df[text].alias(free_name("text", keep)))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         encoder = encoding(rank_file, pattern)

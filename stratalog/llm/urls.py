@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.words import text_slices
+from stratalog.llm.words import free_name, text_slices
 
 TRAIN_ROWS = 4_000
 BITS = 17
@@ -129,8 +129,8 @@ def train(labelled: DataFrame, host: str = "host", path: str = "path", label: st
 def score(df: DataFrame, model: UrlModel, host: str = "host", path: str = "path", out: str = "block_probability") -> DataFrame:
     """All columns and the probability that the url is to be blocked."""
     keep = [c for c in df.columns if c != out]
-    source = df.select(*[df[c] for c in keep], F.concat(F.coalesce(df[host], F.lit("")), F.coalesce(df[path], F.lit(""))).alias("__text"))
-    schema = T.StructType([*source.drop("__text").schema.fields, T.StructField(out, T.DoubleType())])
+    source = df.select(*[df[c] for c in keep], F.concat(F.coalesce(df[host], F.lit("")), F.coalesce(df[path], F.lit(""))).alias(free_name("url", keep)))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.DoubleType())])
 
     def run(batches):
         for batch in batches:

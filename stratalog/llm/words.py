@@ -29,6 +29,14 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores as it needs not to be one of ``taken``."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(32))

@@ -25,7 +25,7 @@ def shingle_set(text, n):
 
 
 #: Names that the operators use for columns of their own.
-CLASHES = ["key", "value", "part", "own", "slot", "size", "bucket", "_id", "region", "label", "n_words", "token_ids", "decoded", "copies"]
+CLASHES = ["key", "value", "part", "own", "slot", "size", "bucket", "_id", "region", "label", "n_words", "token_ids", "decoded", "copies", "__text", "__id"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType())]
     + [T.StructField(c, T.StringType()) for c in CLASHES]
