@@ -8,7 +8,11 @@ buckets of all tables, so a pair is counted in the first table it shares and in
 other. Only a count and the root of its local component leave a task per vector and
 block, never lists of pairs.
 
-A bucket with more than ``BLOCK`` vectors is dealt as blocks to groups of two blocks
+Vectors of one direction (equal unit vectors, told by two 64-bit digests) are one class
+from the start, with a count; hashing, buckets and comparisons know classes only, so a
+vector that comes a million times costs no more than one.
+
+A bucket with more than ``BLOCK`` classes is dealt as blocks to groups of two blocks
 each, so that no task holds more than two blocks at once and a crowded bucket is
 spread over as many tasks as it needs.
 
@@ -17,9 +21,9 @@ p = 0.82: 8 in 1,000; at 0.92, 2 in 1,000; at 0.95, below 1 in 10,000.
 
 Defined results: vectors that are null, zero or hold null or non-finite components
 link with nothing; vectors of different lengths do not link; rows without an id
-link with nothing and their component is null; rows that repeat id and vector count
-as one, rows of one id with different vectors are one node and do not link with
-themselves; empty tables give empty tables; further columns are ignored.
+link with nothing and their component is null. Every row is a vector of its own: rows
+that repeat id or vector are returned as often as they come, and link with each other
+like any others; empty tables give empty tables; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,39 +58,63 @@ def buckets(unit: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _hashed(usable: DataFrame) -> DataFrame:
-    """vec_id, v, hashes (one bucket per table)."""
+def _units(lists: pa.Array):
+    """(rows, unit vectors) of each vector length of a batch of complete vectors."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        vectors = values[starts[rows][:, None] + np.arange(d)]
+        vectors = vectors / np.abs(vectors).max(1, keepdims=True)
+        yield rows, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _keyed(usable: DataFrame) -> DataFrame:
+    """vec_id, v, key and check (digests of the unit vector)."""
     kinds = {f.name: f.dataType.simpleString() for f in usable.schema.fields}
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            values = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
-            starts = np.cumsum(sizes) - sizes
-            out = np.zeros((len(sizes), TABLES), np.int32)
-            for d in np.unique(sizes):
-                rows = np.flatnonzero(sizes == d)
-                vectors = values[starts[rows][:, None] + np.arange(d)]
-                vectors /= np.abs(vectors).max(1, keepdims=True)
-                out[rows] = buckets(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
-            hashes = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * TABLES), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, hashes], names=["vec_id", "v", "hashes"])
-
-    return usable.mapInArrow(run, f"vec_id {kinds['vec_id']}, v {kinds['v']}, hashes array<int>")
+            key, check = (np.zeros(batch.num_rows, np.uint64) for _ in range(2))
+            for rows, unit in _units(batch.column(1)):
+                bits = (unit + 0.0).view(np.uint64)  # -0.0 is 0.0
+                one, two = np.full(len(rows), unit.shape[1], np.uint64), np.full(len(rows), 7, np.uint64)
+                for k in range(unit.shape[1]):
+                    one = mixed(one * np.uint64(0x9E3779B97F4A7C15) + bits[:, k])
+                    two = mixed((two ^ bits[:, k]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+                key[rows], check[rows] = one, two
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))], names=["vec_id", "v", "key", "check"])
+
+    return usable.mapInArrow(run, f"vec_id {kinds['vec_id']}, v {kinds['v']}, key bigint, check bigint")
+
+
+def _hashed(classes: DataFrame) -> DataFrame:
+    """vec_id (of the class), copies, v, hashes (one bucket per table)."""
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
+
+    def run(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, TABLES), np.int32)
+            for rows, unit in _units(batch.column(2)):
+                out[rows] = buckets(unit)
+            hashes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * TABLES), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=["vec_id", "copies", "v", "hashes"])
+
+    return classes.mapInArrow(run, f"vec_id bigint, copies bigint, v {kinds['v']}, hashes array<int>")
 
 
 def _dealt(hashed: DataFrame, block: int) -> DataFrame:
     """One row per table, group and vector; crowded buckets go to pairs of blocks."""
-    at = hashed.select("vec_id", "v", "hashes", F.posexplode("hashes").alias("t", "bucket"))
+    at = hashed.select("vec_id", "copies", "v", "hashes", F.posexplode("hashes").alias("t", "bucket"))
     sizes = hashed.select(F.posexplode("hashes").alias("t", "bucket")).groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("size"))
     crowded = settle_table(sizes.where(F.col("size") > block), "crowded-buckets")
     blocks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("vec_id", "bucket"), blocks.cast("long")).cast("int")
-    placed = at.join(crowded, ["t", "bucket"], "left").select("vec_id", "v", "hashes", "t", "bucket", blocks.alias("blocks"), own.alias("own"))
+    placed = at.join(crowded, ["t", "bucket"], "left").select("vec_id", "copies", "v", "hashes", "t", "bucket", blocks.alias("blocks"), own.alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("vec_id", "v", "hashes", "t", "bucket", "own", other)
-    return spread.select("vec_id", "v", "hashes", "t", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    spread = placed.select("vec_id", "copies", "v", "hashes", "t", "bucket", "own", other)
+    return spread.select("vec_id", "copies", "v", "hashes", "t", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
 def _links(ids, unit, hashes, t: int, own, lo: int, hi: int, least: float):
@@ -113,7 +141,7 @@ def _links(ids, unit, hashes, t: int, own, lo: int, hi: int, least: float):
 
 
 def partial_links(dealt: DataFrame, least: float) -> DataFrame:
-    """Per group and linked vector: vec_id, n (partners counted here) and root (one vector of those it reaches here)."""
+    """Per group and linked class: vec_id, n (vectors of the partners counted here) and root (one vector of those it reaches here)."""
     ordered = dealt.repartition("t", "bucket", "lo", "hi").sortWithinPartitions("t", "bucket", "lo", "hi", "own", "vec_id")
     kind = dealt.schema["vec_id"].dataType.simpleString()
 
@@ -149,7 +177,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _groups(table: pa.Table, edges: np.ndarray, least: float):
     table = table.combine_chunks()
     kind = table.schema.field("vec_id").type
-    ids = table.column("vec_id").to_numpy()
+    ids, copies = table.column("vec_id").to_numpy(), table.column("copies").to_numpy()
     lists = table.column("v").combine_chunks()
     values, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(float), lists.value_lengths().to_numpy(zero_copy_only=False)
     starts = np.cumsum(sizes) - sizes
@@ -165,7 +193,9 @@ def _groups(table: pa.Table, edges: np.ndarray, least: float):
         i, j = _links(ids[a:b], unit, hashes[a:b], t[a], own[a:b], lo[a], hi[a], least)
         if not len(i):
             continue
-        who, n = np.unique(np.concatenate([i, j]), return_counts=True)
+        who, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        n = np.zeros(len(who), np.int64)
+        np.add.at(n, place, copies[a + np.concatenate([j, i])])
         out_id.append(ids[a + who])
         out_n.append(n)
         out_root.append(ids[a + _roots(b - a, i, j)[who]])
@@ -174,15 +204,22 @@ def _groups(table: pa.Table, edges: np.ndarray, least: float):
 
 
 def near_duplicates(df: DataFrame, vector: str = "embedding", vec: str = "vec_id", least: float = LEAST_COSINE, block: int = BLOCK) -> DataFrame:
-    """One row per id and vector: vec_id, n_links, component_id (smallest id reachable, itself included), kept."""
-    rows = df.select(df[vec].alias("vec_id"), df[vector].alias("v")).distinct()
+    """One row per row of ``df``: vec_id, n_links, component_id (smallest id reachable, itself included), kept."""
+    rows = df.select(df[vec].alias("vec_id"), df[vector].alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    usable = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.coalesce(finite, F.lit(False)))
-    hashed = settle_table(_hashed(usable), "vector-buckets")
+    complete = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False))
+    keyed = _keyed(rows.where(complete))
+    classes = keyed.groupBy("key", "check").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"), F.any_value("v").alias("v"))
+    # numbered once, by the written rows
+    classes = settle_table(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
+    hashed = settle_table(_hashed(classes.select(F.col("class").alias("vec_id"), "copies", "v")), "vector-buckets")
     found = settle_table(partial_links(_dealt(hashed, block), least), "vector-links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links")).withColumnRenamed("vec_id", "_id")
-    labelled = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    of_id = counts.join(labelled, F.col("_id") == F.col("node")).select("_id", "n_links", "component")
-    joined = rows.select("vec_id").join(of_id, F.col("vec_id") == F.col("_id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    counts = found.groupBy("vec_id").agg(F.sum("n").alias("others")).withColumnRenamed("vec_id", "class")
+    labelled = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
+    placed = classes.select("class", "key", "check", "copies", "first_id").join(counts, "class", "left").join(labelled, "class", "left")
+    placed = settle_table(placed.withColumn("component", F.coalesce("component", "class")), "vector-components")
+    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_class = placed.join(smallest, "component").select("key", "check", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    linked = keyed.select("vec_id", "key", "check").join(of_class, ["key", "check"]).select("vec_id", "n_links", "component_id")
+    rest = rows.where(~F.coalesce(complete, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

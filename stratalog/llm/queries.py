@@ -50,13 +50,14 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EMBEDDING_SQL = """
-WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
-pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
-reach(node, other) AS (SELECT a, b FROM pairs UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON r.other = p.a),
-smallest AS (SELECT node, min(other) AS other FROM reach GROUP BY node),
+WITH RECURSIVE numbered AS (SELECT vec_id, embedding, row_number() OVER () AS r FROM embeddings),
+vectors AS (SELECT r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM numbered WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.r AS a, b.r AS b, b.vec_id AS other_id FROM vectors a JOIN vectors b ON a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(node, other, other_id) AS (SELECT a, b, other_id FROM pairs UNION SELECT r.node, p.b, p.other_id FROM reach r JOIN pairs p ON r.other = p.a),
+smallest AS (SELECT node, min(other_id) AS other FROM reach GROUP BY node),
 counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(other, vec_id)) AS kept
-FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN smallest ON node = vec_id
+FROM numbered LEFT JOIN counts ON a = r LEFT JOIN smallest ON node = r
 """
 
 
@@ -135,23 +136,21 @@ targets AS (
     CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce('1' || source, '0')), 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE AS shift
   FROM levels),
 rated AS (SELECT *, CASE WHEN capped THEN {mixing.MOST}.0::DOUBLE ELSE target / source_size END AS rate FROM targets),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS r FROM units WHERE size > 0),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY size, doc_id) - n AS before FROM units WHERE size > 0),
+placed AS (SELECT *, before + unnest(range(1, CAST(n AS BIGINT) + 1)) AS r FROM ranked),
 drawn AS (
-  SELECT k.doc_id, k.source, k.size, k.n, t.source_size, t.target,
+  SELECT k.doc_id, k.size, t.source_size, t.target,
     floor(t.rate) + floor(t.shift + k.r * (t.rate - floor(t.rate))) - floor(t.shift + (k.r - 1) * (t.rate - floor(t.rate))) AS copies
-  FROM ranked k JOIN rated t ON k.source IS NOT DISTINCT FROM t.source
-  UNION ALL SELECT u.doc_id, u.source, u.size, u.n, t.source_size, t.target, 0 FROM units u JOIN rated t ON u.source IS NOT DISTINCT FROM t.source WHERE u.size = 0)
-SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM drawn, range(CAST(drawn.n AS BIGINT))
+  FROM placed k JOIN rated t ON k.source IS NOT DISTINCT FROM t.source
+  UNION ALL SELECT u.doc_id, u.size, t.source_size, t.target, 0 FROM (SELECT *, unnest(range(CAST(n AS BIGINT))) FROM units WHERE size = 0) u JOIN rated t ON u.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM drawn
 """
 
 
 @query("op9_source_mixing", MIX_SQL)
 def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of one id, source and size share their draw, so each is given back as often as it came."""
     sized = table(spark, folder, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    drawn = mixing.copies(sized)
-    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
-    return drawn.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("doc_id", "size", "source_size", "target", taken)
+    return mixing.copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 CHAT_SQL = r"""

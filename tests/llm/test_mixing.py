@@ -67,7 +67,26 @@ def test_awkward_documents_keep_all_columns(spark):
     have = collections.Counter((r.doc_id, r.source) for r in out.collect())
     wanted = collections.Counter()
     for r in mixing.copies(sized(df)).collect():
-        wanted[(r.doc_id, r.source)] += r.copies * r["_n"]
+        wanted[(r.doc_id, r.source)] += r.copies
     assert have == +wanted
     assert all(words(t) for t in out.toPandas().text)
     assert mixing.mix(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_repeated_rows_meet_the_target(spark, blocks, request):
+    """Half of all rows share an id and a size; their copies are drawn one by one."""
+    if blocks:
+        request.getfixturevalue("small_groups")
+    rows = [(7, prose(9, 100), "a")] * 500 + [(None, prose(8, 100), "a")] * 500 + [(1 + i, prose(i, 30 + i % 5), "b") for i in range(800)]
+    df = documents(spark, rows)
+    found = mixing.copies(sized(df)).collect()
+    mixed = mixing.mix(df).collect()
+    for source in "ab":
+        target = next(r.target for r in found if r.source == source)
+        assert abs(sum(r.copies * r.size for r in found if r.source == source) - target) <= 100
+        assert abs(sum(len(words(r.text)) for r in mixed if r.source == source) - target) <= 100
+    con = duckdb.connect()
+    con.register("documents", documents(spark, rows, clashes=False).toArrow())
+    have = collections.Counter((r.doc_id, r.size, r.copies * r.size) for r in found)
+    assert have == collections.Counter((r[0], r[1], r[4]) for r in con.execute(MIX_SQL).fetchall())
