@@ -39,6 +39,8 @@ from stratalog.llm.words import mixed
 from stratalog.session import scratch, settle_table
 
 SEQUENCE, PER_SHARD, END_ID = 8192, 2048, 50256
+#: Shards in a row that one task writes at most, beyond the number of shuffle partitions.
+SHARDS_A_TASK = 32
 ROUNDS = 6
 KEY = 0x5EED
 
@@ -139,7 +141,10 @@ def write_shards(df: DataFrame, folder: str, text: str = "text", doc: str = "doc
     numbered = made.join(offsets, made["part"] == offsets["_part"]).withColumn("slot", slot_of(F.col("start") + F.col("number")))
     rows = numbered.select(F.expr(f"slot div {per_shard}").alias("shard"), "slot", "n_tokens", packed("ids").alias("ids"), "doc_ids")
     shards = max(1, -(-n // per_shard))
-    ordered = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+    # a task writes up to SHARDS_A_TASK shards that follow one another
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    tasks = min(shards, max(shuffle, -(-shards // SHARDS_A_TASK)))
+    ordered = rows.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot")
     kind = made.schema["doc_ids"].dataType.simpleString()
 
     def run(batches):

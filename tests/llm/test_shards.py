@@ -54,3 +54,21 @@ def test_awkward_and_empty(spark):
     assert manifest.selectExpr("sum(n_tokens)").first()[0] == sum(len(encoder.encode_ordinary(t or "")) + 1 for _, t, _ in rows)
     empty = shards.write_shards(df.where("false"), scratch(spark, "shard-test"))
     assert empty.count() == 0 and shards.read_shards(empty).count() == 0
+
+
+def test_bytes_of_every_shard(spark, monkeypatch):
+    """The files are, byte for byte, the packed sequences of the one input partition at their slots."""
+    monkeypatch.setattr(shards, "SHARDS_A_TASK", 3)
+    rows = [(i, prose(i, 5 + i % 90)) for i in range(120)]
+    manifest = shards.write_shards(documents(spark, rows).coalesce(1).sortWithinPartitions("doc_id"), scratch(spark, "shard-test"), sequence=32, per_shard=7, key=9)
+    stream = [t for tokens in stream_of(rows).values() for t in tokens]
+    pieces = [stream[i : i + 32] for i in range(0, len(stream), 32)]
+    place = shards.slots(np.arange(len(pieces)), len(pieces), 9)
+    size = shards.stride(32)
+    expected = bytearray(size * len(pieces))
+    for slot, piece in zip(place.tolist(), pieces):
+        packed = np.array(piece + [shards.END_ID] * (32 - len(piece)), "<u2").tobytes()
+        expected[slot * size : (slot + 1) * size] = len(piece).to_bytes(4, "little") + packed
+    paths = {r.shard: r.path for r in manifest.select("shard", "path").distinct().collect()}
+    assert sorted(paths) == list(range(-(-len(pieces) // 7)))
+    assert b"".join(open(paths[s].removeprefix("file:"), "rb").read() for s in sorted(paths)) == bytes(expected)
