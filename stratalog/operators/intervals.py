@@ -9,11 +9,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions.arrays import explode_present
 from stratalog.operators.ordered import before, lag, lead, number, onward, ordered_scan, upto
+from stratalog.session import settle_table
 
 HALF_OPEN, CLOSED = "half_open", "closed"
 
@@ -196,17 +200,90 @@ def self_overlaps(
     return scanned.where(meets)
 
 
-def rectangle_overlaps(regions: DataFrame, *, frame: Sequence[str], ident: str) -> DataFrame:
-    """Pairs of overlapping rectangles (x, y, width, height) of one frame.
+#: Rectangles of one grid cell that a task compares at once, and comparisons that it makes together.
+CELL_ROWS, PAIRS = 4096, 1 << 20
 
-    Rows of core lie below each other, so the vertical extent is the selective
-    one: it drives the interval join, the horizontal extent filters.
+
+def rectangle_overlaps(regions: DataFrame, *, frame: Sequence[str], ident: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Per rectangle (x, y, width, height) that meets others of its frame: ``overlaps`` (how many) and ``witness`` (the smallest of them).
+
+    Equal rectangles are folded to one with a count. The others are dealt to grid cells
+    about as large as a rectangle, and not more of them than rectangles; a pair is counted
+    in the one cell that holds the corner where it begins. A crowded cell is dealt as pairs
+    of blocks. What leaves a task is a count per rectangle, never a pair.
     """
-    a = regions.select(*frame, F.col(ident).alias("a"), F.col("x").alias("ax"), F.col("width").alias("aw"), F.col("y").alias("a0"), (F.col("y") + F.col("height")).alias("a1"))
-    b = regions.select(*frame, F.col(ident).alias("b"), F.col("x").alias("bx"), F.col("width").alias("bw"), F.col("y").alias("b0"), (F.col("y") + F.col("height")).alias("b1"))
-    pairs = overlapping(a, b, key=frame, left_bounds=("a0", "a1"), right_bounds=("b0", "b1"))
-    meet = (F.col("ax") < F.col("bx") + F.col("bw")) & (F.col("bx") < F.col("ax") + F.col("aw"))
-    return pairs.where((F.col("a") < F.col("b")) & meet).select(*frame, "a", "b")
+    frame = list(frame)
+    boxes = regions.groupBy(*frame, "x", "y", "width", "height").agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("first"), F.max(ident).alias("last"))
+    boxes = settle_table(boxes.select(*frame, *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")], "n", "first", "last").withColumn("box", F.monotonically_increasing_id()), "rectangles")
+    spread = lambda at, size: F.greatest(F.avg(size), (F.max(F.col(at) + F.col(size)) - F.min(at)) / F.sqrt(F.count(F.lit(1))), F.lit(1e-9))
+    sides = boxes.groupBy(*frame).agg(spread("x", "width").alias("side_x"), spread("y", "height").alias("side_y"), F.min("x").alias("from_x"), F.min("y").alias("from_y"))
+    met = boxes.join(sides, frame)
+    cell = lambda at, axis: F.floor((at - F.col(f"from_{axis}")) / F.col(f"side_{axis}"))
+    across = lambda at, size, axis: F.explode(F.sequence(cell(F.col(at), axis), cell(F.col(at) + F.col(size), axis)))
+    placed = met.withColumn("cx", across("x", "width", "x")).withColumn("cy", across("y", "height", "y"))
+    crowds = placed.groupBy(*frame, "cx", "cy").agg(F.count(F.lit(1)).alias("in_cell")).where("in_cell > 1")
+    blocks = F.ceil(F.col("in_cell") / cell_rows).cast("int")
+    dealt = placed.join(crowds, [*frame, "cx", "cy"]).withColumn("own", F.pmod(F.xxhash64("box"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    group = [*frame, "cx", "cy", "lo", "hi"]
+    ordered = dealt.repartition(*group).sortWithinPartitions(*group, "first")
+    names = ["x", "y", "width", "height", "n", "own", "lo", "hi", "cx", "cy", "from_x", "from_y", "side_x", "side_y"]
+    kind = boxes.schema["first"].dataType.simpleString()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch.to_pandas()
+            held = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            keys = held[group]
+            edges = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            if len(edges) > 1:
+                yield from _met(held.iloc[: edges[-1]], edges, names)
+                held = held.iloc[edges[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from _met(held, np.array([0, len(held)]), names)
+
+    columns = ordered.select(*group, *[c for c in names if c not in group], "box", "first")
+    each = columns.mapInArrow(run, f"box bigint, others bigint, nearest {kind}")
+    summed = each.groupBy("box").agg(F.sum("others").alias("others"), F.min("nearest").alias("nearest"))
+    # equal rectangles meet unless they are empty
+    twins = F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("n")).otherwise(F.lit(1))
+    found = boxes.withColumn("n", twins).join(summed, "box", "left").where("n > 1 or others > 0").select(*[F.col(c).alias(f"_{c}") for c in [*frame, "x", "y", "width", "height", "n", "first"]], "others", "nearest")
+    same = [regions[c].cast("double") == F.col(f"_{c}") for c in ("x", "y", "width", "height")]
+    joined = regions.join(found, [*[regions[c] == F.col(f"_{c}") for c in frame], *same])
+    twin = F.when(F.col("_n") > 1, F.when(regions[ident] == F.col("_first"), F.lit(None)).otherwise(F.col("_first")))
+    # the first of equal rectangles has the next one of them as its twin
+    seconds = joined.where((F.col("_n") > 1) & (regions[ident] != F.col("_first"))).groupBy(*[f"_{c}" for c in [*frame, "x", "y", "width", "height"]]).agg(F.min(regions[ident]).alias("_second")).toDF(*[f"k_{c}" for c in [*frame, "x", "y", "width", "height"]], "_second")
+    joined = joined.join(seconds, [F.col(f"_{c}") == F.col(f"k_{c}") for c in [*frame, "x", "y", "width", "height"]], "left")
+    twin = F.coalesce(twin, F.when(regions[ident] == F.col("_first"), F.col("_second")))
+    return joined.select(*[regions[c] for c in frame], regions[ident], (F.col("_n") - 1 + F.coalesce("others", F.lit(0))).alias("overlaps"), F.least("nearest", twin).alias("witness"))
+
+
+def _met(rows: pd.DataFrame, edges: np.ndarray, names: list[str]):
+    """box, others, nearest of the rows of whole groups, each from one of ``edges`` to the next, in order of ``first``."""
+    x0, y0, width, height, n, own, lo, hi, cx, cy, from_x, from_y, side_x, side_y = (rows[c].to_numpy() for c in names)
+    x1, y1 = x0 + width, y0 + height
+    sizes = np.diff(edges)
+    opens, size = np.repeat(edges[:-1], sizes), np.repeat(sizes, sizes)
+    total = np.concatenate([[0], np.cumsum(size)])
+    start = 0
+    while start < len(rows):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS, "right")) - 1)
+        span = size[start:end]
+        i = np.repeat(np.arange(start, end), span)
+        j = np.repeat(opens[start:end], span) + np.arange(len(i)) - np.repeat(np.cumsum(span) - span, span)
+        meet = (x0[i] < x1[j]) & (x0[j] < x1[i]) & (y0[i] < y1[j]) & (y0[j] < y1[i]) & (i != j)
+        i, j = i[meet], j[meet]
+        left, top = np.maximum(x0[i], x0[j]), np.maximum(y0[i], y0[j])
+        here = (np.floor((left - from_x[i]) / side_x[i]) == cx[i]) & (np.floor((top - from_y[i]) / side_y[i]) == cy[i])
+        here &= (lo[i] == hi[i]) | (own[i] != own[j])
+        i, j = i[here], j[here]
+        who, at = np.unique(i, return_index=True)
+        if len(who):
+            others = np.bincount(i, n[j], len(rows))[who].astype(np.int64)
+            first = rows["first"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(rows["box"].to_numpy()[who]), pa.array(others), pa.array(first[j[at]])], names=["box", "others", "nearest"])
+        start = end
 
 
 def numbered_within(df: DataFrame, *, key: Sequence[str], order: Sequence[str], name: str, block: Column | None = None) -> DataFrame:

@@ -217,13 +217,13 @@ def foreign_keys(tables: Mapping[str, DataFrame], keys: Sequence[tuple[str, Sequ
 
 
 def image_regions(regions: DataFrame, frames: DataFrame) -> DataFrame:
-    """Q16: regions stay inside their frame and do not overlap."""
+    """Q16: regions stay inside their frame and do not overlap; of what a region meets, the number and the smallest."""
     f = frames.select("image_frame_id", F.col("width_px").alias("_w"), F.col("height_px").alias("_h"))
     joined = regions.join(f, "image_frame_id")
     outside = joined.where((F.col("x") + F.col("width") > F.col("_w")) | (F.col("y") + F.col("height") > F.col("_h")))
     crossing = rectangle_overlaps(regions, frame=["image_frame_id"], ident="region_id")
     return violation(outside, "region inside frame", ["region_id"], "exceeds the frame").unionByName(
-        violation(crossing, "regions apart", ["a"], F.concat(F.lit("overlaps "), F.col("b").cast("string")))
+        violation(crossing, "regions apart", ["region_id"], F.concat_ws(" ", F.lit("overlaps"), F.col("overlaps").cast("string"), F.lit("first"), F.col("witness").cast("string")))
     )
 
 
