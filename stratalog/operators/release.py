@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,13 +43,13 @@ def unready(members: DataFrame, validations: DataFrame, assets: DataFrame, locat
     return unvalidated(members, validations).unionByName(stuck.select("dataset_id", "dataset_revision_id", F.lit("asset not located").alias("problem")))
 
 
-POINTER = "release_id string, previous string, seq long"
+POINTER = "release_id string, previous string, seq long, writer string"
 
 
 def active_release(spark: SparkSession, root: str) -> DataFrame:
     """The current pointer row (none before the first publication)."""
     try:
-        pointers = spark.read.schema(POINTER).parquet(f"{root}/pointer/*")
+        pointers = spark.read.schema(POINTER).json(f"{root}/pointer/seq_*.json")
     except Exception as error:  # no pointer has been written yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -54,12 +57,45 @@ def active_release(spark: SparkSession, root: str) -> DataFrame:
     return pointers.orderBy(F.desc("seq")).limit(1)
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make the file ``path`` with ``text``, whole or not at all; False if it is there already.
+
+    The text is written beside it and then given its name in one step that does not
+    replace: a hard link on a local disk, a rename elsewhere, which HDFS refuses where
+    the name is taken. A store without such a rename needs one that has (or a lock).
+    """
+    jvm = spark.sparkContext._jvm
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    store = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(final.getParent())
+    if store.getUri().getScheme() == "file":
+        place = final.toUri().getPath()
+        beside = f"{os.path.dirname(place)}/.{uuid.uuid4().hex}"
+        with open(beside, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(beside, place)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(beside)
+        return True
+    beside = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{uuid.uuid4().hex}")
+    stream = store.create(beside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if store.rename(beside, final):
+        return True
+    store.delete(beside, False)
+    return False
+
+
 def publish(spark: SparkSession, root: str, members: DataFrame, validations: DataFrame, release_id: str, expected_previous: str | None) -> bool:
     """Write an immutable release and switch the pointer to it; False if it is active already.
 
-    The pointer is a numbered one-row table that may be written only once, so
-    of two writers that saw the same predecessor one fails. The release itself
-    is complete before the pointer is touched. One writer at a time is assumed.
+    The pointer is a numbered object that is created once and whole, so of writers that
+    saw the same predecessor exactly one wins and the others raise. The release itself is
+    complete before the pointer is touched, and the pointer is read back after it.
     """
     problems = unvalidated(members, validations)
     if not problems.isEmpty():
@@ -82,8 +118,13 @@ def publish(spark: SparkSession, root: str, members: DataFrame, validations: Dat
         if not set_difference(stored, members, ["dataset_id", "dataset_revision_id"]).isEmpty():
             raise ValueError("a release of this id with other members exists") from error
     seq = (current["seq"] if current else 0) + 1
-    row = spark.createDataFrame([(release_id, active, seq)], POINTER)
-    row.coalesce(1).write.mode("errorifexists").parquet(f"{root}/pointer/seq_{seq:09d}")
+    writer = uuid.uuid4().hex
+    pointer = json.dumps({"release_id": release_id, "previous": active, "seq": seq, "writer": writer})
+    if not create_once(spark, f"{root}/pointer/seq_{seq:09d}.json", pointer):
+        raise ValueError("the active release has changed")
+    written = spark.read.schema(POINTER).json(f"{root}/pointer/seq_{seq:09d}.json").first()
+    if written is None or written["writer"] != writer:
+        raise ValueError("the pointer is not the one that was written")
     return True
 
 

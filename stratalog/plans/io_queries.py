@@ -417,3 +417,52 @@ def streamed_distinct_packages(spark, folder):
     events = _event_stream(spark, folder).select(instant("ts").alias("at"), F.col("user_id").alias("dataset_revision_id"), F.col("event_type").alias("input_digest"))
     once = ingest.drop_repeated_packages(events, time="at", within=None)
     return ingest.drain(once, "append", scratch(spark, "stream")).agg(F.count(F.lit(1)).alias("packages"))
+
+
+EVENT_FILES = 4
+#: Which of the files an event is in: a quarter of the time span each, but for every fiftieth, which comes two files later.
+EVENT_FILES_SQL = """e AS (SELECT *, epoch_us(ts) AS us FROM events),
+s AS (SELECT min(us) AS lo, max(us) AS hi FROM e),
+q AS (SELECT e.*, CAST(least(3, (us - lo) * 4 // (hi - lo + 1) + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS f FROM e, s),
+m AS (SELECT f, max(max(us)) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM q GROUP BY f)"""
+
+
+def _event_files(spark, folder):
+    """The events as a stream of files that come one after the other, a batch each."""
+    path = scratch(spark, "event-files")
+    events = table(spark, folder, "events").withColumn("ts", instant("ts"))
+    us = F.unix_micros("ts")
+    lo, hi = events.agg(F.min(us), F.max(us)).first()
+    place = F.least(F.lit(EVENT_FILES - 1).cast("long"), F.expr(f"(unix_micros(ts) - {lo}) * {EVENT_FILES} div ({hi} - {lo} + 1)") + F.when(F.col("event_id") % 50 == 0, 2).otherwise(0))
+    for k in range(EVENT_FILES):
+        events.where(place == k).coalesce(1).write.mode("append").parquet(path)
+    return ingest.stream_table(spark, path, events.schema, files_per_trigger=1)
+
+
+@query(
+    "streamed_late_rows",
+    f"""WITH {EVENT_FILES_SQL}
+SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) FILTER (WHERE mark IS NULL OR us >= mark - 86400000000) AS n, count(*) FILTER (WHERE us < mark - 86400000000) AS n_late FROM q JOIN m USING (f) GROUP BY 1, 2""",
+)
+def streamed_late_rows(spark, folder):
+    """Day counts of a stream of several files, rows on time and rows too late apart."""
+    path = scratch(spark, "on-time")
+    ingest.count_on_time(_event_files(spark, folder), path, time="ts", label="event_type").awaitTermination()
+    utc = lambda at: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(at).cast("timestamp_ntz")).cast("date")
+    counts = spark.read.parquet(f"{path}/counts").select(utc("window_start").alias("day"), "event_type", "n", F.lit(0).cast("long").alias("n_late"))
+    late = spark.read.parquet(f"{path}/late").groupBy(utc("ts").alias("day"), "event_type").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("n_late"))
+    return counts.unionByName(late).groupBy("day", "event_type").agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late"))
+
+
+@query(
+    "streamed_recent_packages",
+    f"""WITH {EVENT_FILES_SQL},
+k AS (SELECT f, user_id, event_type, min((us, event_id)) AS first, max(us) AS seen FROM q GROUP BY ALL)
+SELECT user_id, event_type, first[2] AS event_id FROM k JOIN m USING (f) WHERE NOT EXISTS (SELECT 1 FROM k g WHERE g.f < k.f AND g.user_id = k.user_id AND g.event_type = k.event_type AND g.seen >= m.mark - 172800000000)""",
+)
+def streamed_recent_packages(spark, folder):
+    """Packages that a stream of several files had not seen in the two days before."""
+    path = scratch(spark, "packages")
+    packages = _event_files(spark, folder).select("user_id", "event_type", "ts", "event_id")
+    ingest.keep_first_packages(packages, path, time="ts", ident="user_id", digest="event_type", within="2 days").awaitTermination()
+    return spark.read.parquet(f"{path}/kept").select("user_id", "event_type", "event_id")
