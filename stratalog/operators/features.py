@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions import fixed
-from stratalog.functions.text import blank_to_null, category, feature_group_name
+from stratalog.functions import fixed
+from stratalog.functions.text import blank_to_null, category
 from stratalog.operators.ordered import top_per_key
 from stratalog.operators.percentiles import exact_percentiles
 
@@ -98,6 +99,10 @@ def redundant_channels(df: DataFrame, categorical: Sequence[str], threshold: flo
     return sorted(r.channel_b for r in report.where(F.col("agreement_pct") >= threshold * 100).collect())
 
 
+#: The channels that classify the same feature, by the names of their columns.
+CHANNEL_OF = {f"{feature} {kind}": feature for feature in fixed.CHANNEL_FEATURES for kind in fixed.CHANNEL_TYPES}
+
+
 @dataclass
 class FeatureSpec:
     """What was decided from the data, so that new data can be scored the same way."""
@@ -127,6 +132,13 @@ class FeatureSpec:
     def kept_names(self) -> list[str]:
         return [self.names[i] for i in self.kept]
 
+    @property
+    def kept_families(self) -> list[str]:
+        """What each kept feature is explained as: a label of a declared channel as one of its channel's feature."""
+        described = self.names[: len(self.names) - len(self.categories)]
+        described += [f"{CHANNEL_OF.get(column, column)} = {label}" for column, label, _ in self.categories]
+        return [described[i] for i in self.kept]
+
 
 def _bin(depth: str, size: float) -> Column:
     return (F.floor(F.col(depth) / size) * size).cast("double")
@@ -261,11 +273,11 @@ def largest_abs(vector: str | Column) -> Column:
     return F.array_max(F.transform(v, lambda x: F.abs(x)))
 
 
-def contributors(vector: str, names: Sequence[str], limit: int = 3) -> Column:
-    """Text naming up to ``limit`` distinct feature groups with the largest absolute values of at least 1."""
+def contributors(vector: str, families: Sequence[str], limit: int = 3) -> Column:
+    """Text naming up to ``limit`` families with the largest absolute values of at least 1; ``families`` are those of the entries."""
     groups: dict[str, list[int]] = {}
-    for i, name in enumerate(names):
-        groups.setdefault(feature_group_name(name), []).append(i)
+    for i, family in enumerate(families):
+        groups.setdefault(family, []).append(i)
     value = lambda i: F.get(vector, F.lit(i))
     bests = []
     for name, places in groups.items():

@@ -24,6 +24,24 @@ def page_after(df: DataFrame, *, key: str, after, limit: int) -> DataFrame:
     return numbered.withColumn("next_after", F.when(more, cursor)).where(F.col("_n") <= limit).drop("_n")
 
 
+def page_after_place(df: DataFrame, *, order: Sequence[str], after: Sequence | None = None, limit: int = 200) -> DataFrame:
+    """The next ``limit`` rows in ``order`` beyond the place ``after``, with ``next_after`` (a place) while more follow.
+
+    ``order`` identifies a row and is never null. The bound of its first column reaches
+    the scan, so in a table laid out in this order the footers of the files say where a
+    page begins; the sort is a bounded take.
+    """
+    place = F.struct(*order)
+    if after is not None:
+        df = df.where(F.col(order[0]) >= F.lit(after[0])).where(place > F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, after)]))
+    taken = df.orderBy(*order).limit(limit + 1)
+    # at most limit + 1 rows from here on
+    numbered = taken.withColumn("_n", F.row_number().over(W.orderBy(*order)))
+    whole = W.partitionBy()
+    cursor = F.max(F.when(F.col("_n") == limit, place)).over(whole)
+    return numbered.withColumn("next_after", F.when(F.max("_n").over(whole) > limit, cursor)).where(F.col("_n") <= limit).drop("_n")
+
+
 def page_offset(df: DataFrame, *, order: Sequence[str | Column], offset: int, limit: int) -> DataFrame:
     """Rows offset..offset+limit-1 in order, with ``next_offset`` set while more follow."""
     taken = df.orderBy(*order).offset(offset).limit(limit + 1)

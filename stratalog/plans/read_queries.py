@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions.numbers import finite_channels, image_position, nonfinite_channels
-from stratalog.operators import geometry, intervals, neighbours, paging, profiles, relations
+from stratalog.operators import geometry, intervals, neighbours, paging, profiles, relations, scoring
 from stratalog.plans.registry import query
+from stratalog.plans.score_queries import SCALED_SQL, scaled_table
 from stratalog.plans.views import SCAN_SQL, SITES_SQL, km_sql, readings, scan, sites, spectra
-from stratalog.session import table
+from stratalog.session import scratch, settle_table, table
+from stratalog.sources import sinks
 
 # ---------------------------------------------------------------- library queries
 
@@ -80,10 +82,13 @@ def profile_values(profiles_: DataFrame, samples: DataFrame, *, log_id, axis_id,
     return paging.page_after(rows.withColumn("status", F.lit("available_uncalibrated_profile")), key="sample_no", after=after, limit=limit)
 
 
-def anomalies_of(anomalies: DataFrame, *, flag: str | None = None, start=None, end=None, offset: int = 0, limit: int = 200) -> DataFrame:
-    """Anomaly intervals touching a depth range, by hole and depth, paged."""
+ANOMALY_ORDER = ["hole_id", "depth_from_m"]
+
+
+def anomalies_of(anomalies: DataFrame, *, flag: str | None = None, start=None, end=None, after=None, limit: int = 200) -> DataFrame:
+    """Anomaly intervals touching a depth range, by hole and depth: the page beyond ``after``, with ``next_after``."""
     chosen = anomalies if flag is None else anomalies.where(F.col("flag") == flag)
-    return paging.page_offset(intervals.touching_range(chosen, start=start, end=end), order=["hole_id", "depth_from_m"], offset=offset, limit=limit)
+    return paging.page_after_place(intervals.touching_range(chosen, start=start, end=end), order=ANOMALY_ORDER, after=after, limit=limit)
 
 
 # ---------------------------------------------------------------- on the given tables
@@ -254,13 +259,41 @@ def issues_of_revisions(spark, folder):
     return issues.where(F.col("code").rlike("^[12]"))
 
 
-@query("anomaly_page", """WITH a AS (SELECT o_custkey AS hole_id, CAST(o_orderkey % 1000 AS DOUBLE) AS depth_from_m, CASE WHEN o_totalprice > 450000 THEN 'high' ELSE 'normal' END AS flag, o_orderkey FROM orders)
-SELECT hole_id, depth_from_m, o_orderkey FROM a WHERE flag = 'high' AND depth_from_m + 1 >= 100 AND depth_from_m <= 900 ORDER BY hole_id, depth_from_m, o_orderkey LIMIT 50 OFFSET 10""")
+FLAGS = ["insufficient data", "normal", "watch", "elevated", "high"]
+
+
+@query(
+    "anomaly_page",
+    f"""WITH {SCALED_SQL},
+ranked AS (SELECT *, 100.0 * (row_number() OVER (ORDER BY robust_distance, hole, depth_from_m) - 1) / greatest(count(*) OVER () - 1, 1) AS score FROM normed),
+flagged AS (SELECT hole, depth_from_m, CASE WHEN hole % 9 = 4 THEN 'insufficient data' WHEN coverage < 0.30 THEN 'insufficient data' WHEN score < 95 THEN 'normal' WHEN max_z >= 6 THEN 'high' WHEN max_z >= 4 THEN 'elevated' ELSE 'watch' END AS flag FROM ranked),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY hole, depth_from_m) AS place, count(*) OVER (PARTITION BY flag) AS n FROM flagged WHERE depth_from_m + 120 >= 240 AND depth_from_m <= 6000)
+SELECT flag, (place - 1) // 10 AS page, CAST(hole AS BIGINT) AS hole_id, depth_from_m, n > 10 * ((place - 1) // 10 + 1) AS more FROM numbered WHERE place <= 20""",
+)
 def anomaly_page(spark, folder):
-    d = (F.col("o_orderkey") % 1000).cast("double")
-    a = table(spark, folder, "orders").select(F.col("o_custkey").alias("hole_id"), d.alias("depth_from_m"), (d + 1).alias("depth_to_m"), F.when(F.col("o_totalprice") > 450000, "high").otherwise("normal").alias("flag"), "o_orderkey")
-    chosen = intervals.touching_range(a.where("flag = 'high'"), start=100, end=900)
-    return paging.page_offset(chosen, order=["hole_id", "depth_from_m", "o_orderkey"], offset=10, limit=50).select("hole_id", "depth_from_m", "o_orderkey")
+    """Two pages of every flag from written anomaly scores, the second beyond the place where the first ends."""
+    scored, _ = scaled_table(spark, folder)
+    ranked = scoring.combined_rank(scored, ["robust_distance"], ["hole", "depth_from_m"], "score")
+    covered = F.when(F.col("hole") % 9 == 4, 0.0).otherwise(F.col("coverage"))
+    rows = ranked.withColumn("coverage", covered).withColumn("flag", scoring.flag("score", "coverage", "max_z"))
+    path = scratch(spark, "anomalies")
+    rows = rows.select(F.col("hole").cast("long").alias("hole_id"), "depth_from_m", "depth_to_m", "flag", "robust_distance", "max_z")
+    sinks.write_anomalies(rows, rows.groupBy("hole_id").agg(F.max("max_z").alias("max_z")), path)
+    stored = spark.read.parquet(f"{path}/anomalies")
+    pages = []
+    for flag in FLAGS:
+        after = None
+        for number in range(2):
+            page = settle_table(anomalies_of(stored, flag=flag, start=240, end=6000, after=after, limit=10), "page")
+            pages.append(page.select("flag", F.lit(number).cast("long").alias("page"), "hole_id", "depth_from_m", F.col("next_after").isNotNull().alias("more")))
+            first = page.first()  # a page: at most ten rows
+            after = first["next_after"] if first else None
+            if after is None:
+                break
+    every = pages[0]
+    for page in pages[1:]:
+        every = every.unionByName(page)
+    return every
 
 
 @query("spectra_nearest_depth", f"""WITH {SCAN_SQL}, n AS (SELECT hole, arg_min(sample_no, (abs(depth_h - 300), sample_no)) AS s FROM scan GROUP BY 1)

@@ -145,13 +145,11 @@ part AS (
   SELECT hole, depth_from_m, unnest(v) AS z, unnest(['value [mean]', 'value [sd]', 'k [mean]', 'k [sd]', {", ".join(f"'event_type = {l}'" for l in LABELS)}]) AS name,
          generate_subscripts(v, 1) AS i FROM scaled),
 top AS (SELECT *, row_number() OVER (PARTITION BY hole, depth_from_m ORDER BY abs(z) DESC, i) AS r FROM part WHERE abs(z) >= 1)
-SELECT hole, depth_from_m, string_agg(name || CASE WHEN z > 0 THEN ' high' ELSE ' low' END, '; ' ORDER BY r) AS why FROM top WHERE r <= 3 GROUP BY 1, 2""",
+SELECT hole, depth_from_m, string_agg(name || CASE WHEN z > 0 THEN ' (high, ' ELSE ' (low, ' END || CASE WHEN abs(z) >= 24.99 THEN '>=25.0 sd' ELSE printf('%.1f sd', abs(z)) END || ')', '; ' ORDER BY r) AS why FROM top WHERE r <= 3 GROUP BY 1, 2""",
 )
 def score_explanations(spark, folder):
     scored, spec = scaled_table(spark, folder)
-    text = features.contributors("scaled", spec.kept_names)
-    short = F.regexp_replace(text, r" \((high|low), [^)]*\)", " $1")
-    return scored.select("hole", "depth_from_m", short.alias("why")).where("why <> ''")
+    return scored.select("hole", "depth_from_m", features.contributors("scaled", spec.kept_families).alias("why")).where("why <> ''")
 
 
 PAIRS = [("l_returnflag", "l_linestatus"), ("l_returnflag", "copy"), ("l_linestatus", "copy")]
@@ -238,7 +236,7 @@ def interval_anomalies(spark, folder):
 def hole_anomalies(spark, folder):
     scored, spec = scaled_table(spark, folder)
     collars = sites(spark, folder).withColumnRenamed("hole_id", "hole")
-    return scoring.score_holes(scored, spec.kept_names, collars, hole="hole")
+    return scoring.score_holes(scored, spec.kept_families, collars, hole="hole")
 
 
 @query("principal_axis_scores")

@@ -49,8 +49,6 @@ def test_species_and_log_names(spark):
 def test_column_roles():
     found = text.resolve_columns(["Min1 sTSAS (2)", "Grp1 uTSAS", "SNR", "Error"])
     assert found == {"group": "Grp1 uTSAS", "mineral": "Min1 sTSAS (2)", "weight": None, "error": "Error", "snr": "SNR"}
-    assert text.feature_group_name("Min1 sjCLST = talc") == "Min1 = talc"
-    assert text.feature_group_name("SNR [mean]") == "SNR [mean]"
 
 
 def test_number_text_is_percent_g(spark):

@@ -116,7 +116,10 @@ def test_flags_and_reliability(spark):
 
 
 def test_explanations_merge_groups(spark):
-    names = ["Min1 sTSAS = talc", "Min1 uTSAS = talc", "SNR [mean]", "wt [mean]", "x [mean]"]
+    labels = [("Min1 sTSAS", "talc", 0.5), ("Min1 uTSAS", "talc", 0.5), ("Min1 else", "talc", 0.5)]
+    spec = features.FeatureSpec(["hole"], "depth", 1.0, ["SNR"], labels, True, kept=[0, 2, 3, 4])
+    assert spec.kept_families == ["SNR [mean]", "Min1 = talc", "Min1 = talc", "Min1 else = talc"]
+    names = ["Min1 = talc", "Min1 = talc", "SNR [mean]", "wt [mean]", "x [mean]"]
     df = spark.createDataFrame([([2.0, -3.0, 25.0, 0.5, -1.0],), ([0.1] * 5,)], "v array<double>")
     assert [r[0] for r in df.select(features.contributors("v", names)).collect()] == ["SNR [mean] (high, >=25.0 sd); Min1 = talc (low, 3.0 sd); x [mean] (low, 1.0 sd)", ""]
 
