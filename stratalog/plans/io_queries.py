@@ -14,14 +14,15 @@ from stratalog.session import scratch, settle_table, table
 from stratalog.sources import documents, files, logs, sinks
 from stratalog.streaming import ingest
 
-LOGS = 8
+#: Rows of a log: the number of logs, and with it of files and tasks, grows with the events.
+LOG_ROWS = 2_000
 
 
 def _scalar_files(spark, folder):
     """events as scalar CSV logs, a few per run: StartDepth, EndDepth, value with blanks and null tokens."""
     path = scratch(spark, "scalars")
     value = F.when(F.col("k") % 10 == 0, "null").when(F.col("k") % 10 == 1, "").otherwise(F.col("event_type"))
-    rows = readings(spark, folder).select((F.col("hole") % LOGS).alias("log"), F.col("event_id").cast("double").alias("StartDepth"), F.col("event_id").cast("double").alias("EndDepth"), value.alias("value"))
+    rows = readings(spark, folder).select(F.expr(f"event_id div {LOG_ROWS}").alias("log"), F.col("event_id").cast("double").alias("StartDepth"), F.col("event_id").cast("double").alias("EndDepth"), value.alias("value"))
     rows.repartition("log").sortWithinPartitions("log", "StartDepth").write.partitionBy("log").option("header", "true").option("emptyValue", "").csv(path)
     return path
 
@@ -31,8 +32,8 @@ def _log_of(column: str = "path"):
 
 
 SCALARS_SQL = f"""{READINGS_SQL},
-rows AS (SELECT hole % 8 AS log, event_id, CASE WHEN k % 10 = 0 THEN 'null' WHEN k % 10 = 1 THEN '' ELSE event_type END AS token,
-  row_number() OVER (PARTITION BY hole % 8 ORDER BY event_id) - 1 AS source_row FROM readings)"""
+rows AS (SELECT event_id // {LOG_ROWS} AS log, event_id, CASE WHEN k % 10 = 0 THEN 'null' WHEN k % 10 = 1 THEN '' ELSE event_type END AS token,
+  row_number() OVER (PARTITION BY event_id // {LOG_ROWS} ORDER BY event_id) - 1 AS source_row FROM readings)"""
 
 
 @query("strict_scalar_log", f"WITH {SCALARS_SQL} SELECT log, source_row, CAST(event_id AS DOUBLE) AS start, token FROM rows")
@@ -52,7 +53,7 @@ def literal_scalar_log(spark, folder):
     path = scratch(spark, "literal")
     value = F.when(F.col("k") % 10 == 0, "null").when(F.col("k") % 10 == 1, "").otherwise(F.col("event_type"))
     text = F.concat_ws(",", F.col("event_id").cast("string"), F.col("event_id").cast("string"), F.concat(F.lit('a "'), value, F.lit('", b')))
-    rows = readings(spark, folder).select((F.col("hole") % LOGS).alias("log"), "event_id", text.alias("value"))
+    rows = readings(spark, folder).select(F.expr(f"event_id div {LOG_ROWS}").alias("log"), "event_id", text.alias("value"))
     heads = rows.select("log").distinct().select("log", F.lit(-1).cast("long").alias("event_id"), F.lit("StartDepth,EndDepth,value").alias("value"))
     placed = rows.unionByName(heads).repartition("log").sortWithinPartitions("log", "event_id").select("log", "value")
     placed.write.partitionBy("log").text(path)
@@ -117,7 +118,7 @@ def chunk_index(spark, folder):
 def depth_profiles(spark, folder):
     """JSON-lines profiles written per hole and read back with their sample numbers checked."""
     path = scratch(spark, "profiles")
-    rows = scan(spark, folder).select((F.col("hole") % LOGS).alias("log"), "hole", F.to_json(F.struct(F.col("sample_no").alias("sampleNo"), F.array("value", F.col("k").cast("double"), F.col("hole").cast("double")).alias("floatprofdata"))).alias("value"))
+    rows = scan(spark, folder).select(F.expr("hole div 100").alias("log"), "hole", F.to_json(F.struct(F.col("sample_no").alias("sampleNo"), F.array("value", F.col("k").cast("double"), F.col("hole").cast("double")).alias("floatprofdata"))).alias("value"))
     rows.repartition("log", "hole").drop("hole").write.partitionBy("log").text(path)
     raw = logs.read_profiles(spark, path, glob="*")
     return raw.select(F.get("values", F.lit(2)).cast("long").alias("hole"), "sample_no", F.round(F.get("values", F.lit(0)) + F.get("values", F.lit(1)), 6).alias("total"))
@@ -206,21 +207,29 @@ def wide_spectra(spark, folder):
 
 @query(
     "asset_listing",
-    """SELECT asset_kind, status, notes, count(*) AS n FROM (
-  SELECT 'tray' AS asset_kind, 'complete' AS status, '' AS notes FROM lineitem
-  UNION ALL SELECT 'order', CASE o_orderstatus WHEN 'F' THEN 'complete' ELSE 'metadata_only' END, 'downloaded 0 of 5' FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) GROUP BY 1, 2, 3""",
+    """WITH k AS (SELECT l_orderkey, o_custkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT CAST(o_custkey AS VARCHAR) AS hole_id, 'tray' AS asset_kind, 'complete' AS status, 'core ' || o_custkey AS dataset_name, 'log ' || l_orderkey AS asset_name, CAST(l_linenumber AS BIGINT) AS sample_no,
+  CAST(l_quantity AS DOUBLE) AS depth_from_m, CAST(l_quantity + 1 AS DOUBLE) AS depth_to_m, l_orderkey || '/' || l_linenumber AS file_path, CAST(CASE WHEN l_linenumber = 3 THEN 0 ELSE l_linenumber * 100 END AS BIGINT) AS nbytes, '' AS notes FROM k
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'log ' || o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'metadata_only' ELSE 'partial' END, 'core ' || o_custkey, 'log ' || o_orderkey, NULL, NULL, NULL, NULL, 0,
+  'downloaded ' || CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END || ' of 5' FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
 )
 def asset_listing(spark, folder):
-    hole = F.lit("h").alias("hole_id")
-    listed = table(spark, folder, "lineitem").select(
-        hole, F.lit("d").alias("dataset_id"), F.col("l_orderkey").alias("log_id"), F.lit("tray").alias("kind"), F.lit("t").alias("log_name"), F.lit(0).cast("long").alias("sample_no"),
-        F.lit(0.0).alias("depth_from_m"), F.lit(1.0).alias("depth_to_m"), F.lit("f").alias("file"), F.lit(3).alias("nbytes"),
+    """Every line a file of its order's log, every order a log of its customer's dataset."""
+    orders = table(spark, folder, "orders")
+    hole, log = F.col("o_custkey").cast("string").alias("hole_id"), F.concat(F.lit("log "), F.col("o_orderkey").cast("string"))
+    dataset = F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("dataset_id")
+    n = F.col("l_linenumber")
+    listed = table(spark, folder, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        hole, dataset, F.col("l_orderkey").alias("log_id"), F.lit("tray").alias("kind"), log.alias("log_name"), n.cast("long").alias("sample_no"),
+        F.col("l_quantity").cast("double").alias("depth_from_m"), (F.col("l_quantity") + 1).cast("double").alias("depth_to_m"),
+        F.concat_ws("/", F.col("l_orderkey").cast("string"), n.cast("string")).alias("file"), F.when(n != 3, n * 100).alias("nbytes"),
     )
-    held = table(spark, folder, "orders").select(
-        hole, F.lit("d").alias("dataset_id"), F.col("o_orderkey").alias("log_id"), F.lit("order").alias("log_name"), F.when(F.col("o_orderstatus") == "F", "complete").alias("status"), F.lit(0).alias("downloaded"), F.lit(5).alias("sample_count")
+    held = orders.select(
+        hole, dataset, F.col("o_orderkey").alias("log_id"), log.alias("log_name"), F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "partial").alias("status"),
+        F.when(F.col("o_orderstatus") == "P", 2).alias("downloaded"), F.lit(5).alias("sample_count"),
     )
-    datasets = spark.createDataFrame([("h", "d", "core")], "hole_id string, dataset_id string, dataset_name string")
-    return sinks.asset_rows(listed, held, datasets).groupBy("asset_kind", "status", "notes").agg(F.count(F.lit(1)).alias("n"))
+    datasets = orders.select(hole, dataset, F.concat(F.lit("core "), F.col("o_custkey").cast("string")).alias("dataset_name")).distinct()
+    return sinks.asset_rows(listed, held, datasets)
 
 
 @query("exported_and_imported", "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")

@@ -432,6 +432,44 @@ def image_depth_checks(spark, folder):
     return image_depth_check(images, trays, key=["hole"])
 
 
+@query(
+    "image_log_signatures",
+    """WITH h AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT k AS hole, 1 + CAST(k % 6 > 0 AND NOT (k % 6 = 3 AND n = 1) AS BIGINT) AS logs, n + CASE WHEN k % 6 = 0 THEN 0 WHEN k % 6 = 3 THEN n - 1 ELSE n END AS images,
+  NOT (k % 6 = 2 OR (k % 6 = 3 AND n > 1) OR k % 6 = 4 OR (k % 6 = 5 AND n > 1)) AS identical FROM h""",
+)
+def image_log_signatures(spark, folder):
+    """Image logs of a hole compared by the signature of their whole sequence: equal, shifted, cut short, of other size, in other order."""
+    from stratalog.operators.align import sequence_signatures
+
+    holes = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("hole")).agg(F.count(F.lit(1)).alias("n"))
+    k, n, i = F.col("hole") % 6, F.col("n"), F.col("i")
+    images = holes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    first = images.select("hole", F.lit("a").alias("log_id"), i.alias("position"), i.alias("ordinal"), F.concat(F.lit("tray/"), i.cast("string"), F.lit(".jpg")).alias("path"), F.lit(640).alias("width"))
+    other = images.where((k > 0) & ~((k == 3) & (i == n - 1)))
+    shown = F.when((k == 5) & (n > 1), n - 1 - i).otherwise(i)
+    second = other.select("hole", F.lit("b").alias("log_id"), i.alias("position"), (i + F.when(k == 2, 1).otherwise(0)).alias("ordinal"), F.concat(F.lit("tray/"), shown.cast("string"), F.lit(".jpg")).alias("path"), F.when((k == 4) & (i == 0), 320).otherwise(640).alias("width"))
+    signed = sequence_signatures(first.unionByName(second), key=["hole", "log_id"], ordinal="position", columns=["ordinal", "path", "width"])
+    return signed.groupBy("hole").agg(F.count(F.lit(1)).alias("logs"), F.sum("n").alias("images"), (F.count_distinct("digest") == 1).alias("identical"))
+
+
+@query(
+    "image_relation_problems",
+    """SELECT 'image relation' AS rule, l_orderkey || '/' || l_linenumber AS key, CASE WHEN p_size % 10 = 3 THEN 'section' ELSE 'tray' END || '/' || CASE WHEN l_suppkey % 8 = 5 THEN 'scalar' ELSE 'image' END AS detail
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size % 10 = 3 OR l_suppkey % 8 = 5 OR l_linenumber = 7""",
+)
+def image_relation_problems(spark, folder):
+    """Every line as an image frame of its part, taken by its supplier's log."""
+    parts = table(spark, folder, "part")
+    frames = table(spark, folder, "lineitem").join(parts.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select(
+        F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("image_frame_id"), F.col("l_partkey").alias("core_interval_id"),
+        F.when(F.col("l_linenumber") == 7, "x").otherwise(F.col("p_brand")).alias("source_tray_label"), F.col("l_suppkey").alias("log_id"),
+    )
+    shown = parts.select(F.col("p_partkey").alias("interval_id"), F.when(F.col("p_size") % 10 == 3, "section").otherwise("tray").alias("interval_kind"), F.col("p_brand").alias("source_label"))
+    logs = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("log_id"), F.when(F.col("s_suppkey") % 8 == 5, "scalar").otherwise("image").alias("log_kind"))
+    return quality.image_relations(frames, shown, logs)
+
+
 @query("duplicate_log_aliases", "SELECT source, lang AS name, count(*) AS copies, count(DISTINCT sha256(text)) AS contents, count(DISTINCT sha256(text)) = 1 AS identical FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_log_aliases(spark, folder):
     from stratalog.operators.align import duplicate_alias_check
@@ -566,13 +604,13 @@ def special_cases_from_sources(spark, folder):
 
 @query(
     "cuttings_selection",
-    """WITH d AS (SELECT o_custkey AS hole_id, o_orderkey AS dataset_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || '_Cuttings2' ELSE CAST(o_custkey AS VARCHAR) END AS dataset_name FROM orders WHERE o_orderstatus = 'P'),
+    """WITH d AS (SELECT o_custkey AS hole_id, o_orderkey AS dataset_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || '_Cuttings2' ELSE CAST(o_custkey AS VARCHAR) END AS dataset_name FROM orders),
 h AS (SELECT hole_id, count_if(dataset_id % 3 = 0) AS c, count_if(dataset_id % 3 <> 0) AS r FROM d GROUP BY 1)
 SELECT CAST(d.hole_id AS VARCHAR) AS hole_id, dataset_id, dataset_id % 3 <> 0 AS kept, CASE WHEN r > 1 THEN 'the remaining datasets need review' END AS problem FROM d JOIN h ON h.hole_id = d.hole_id WHERE c > 0""",
 )
 def cuttings_selection(spark, folder):
     name = F.col("o_custkey").cast("string")
-    datasets = table(spark, folder, "orders").where("o_orderstatus = 'P'").select(
+    datasets = table(spark, folder, "orders").select(
         name.alias("hole_id"), F.col("o_orderkey").alias("dataset_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(name, F.lit("_Cuttings2"))).otherwise(name).alias("dataset_name")
     )
     return routing.core_datasets(datasets).select("hole_id", "dataset_id", "kept", "problem")
@@ -662,13 +700,13 @@ def retry_plan(spark, folder):
 
 @query(
     "ineligible_holes",
-    """WITH s AS (SELECT o_custkey AS h, count(*) AS n FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1)
+    """WITH s AS (SELECT l_orderkey AS h, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT h AS hole_id, CASE WHEN n > 1 THEN 'selected twice' WHEN h % 5 = 0 THEN 'not diagnosed' WHEN h % 5 = 1 THEN 'has not failed' ELSE 'assigned to another case' END AS problem FROM s WHERE n > 1 OR h % 5 IN (0, 1, 2)""",
 )
 def ineligible_holes(spark, folder):
-    selected = table(spark, folder, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("hole_id"))
-    k = F.col("c_custkey")
-    diagnoses = table(spark, folder, "customer").where("c_custkey % 5 <> 0").select(
+    selected = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("hole_id"))
+    k = F.col("o_orderkey")
+    diagnoses = table(spark, folder, "orders").where("o_orderkey % 5 <> 0").select(
         k.alias("hole_id"), F.lit("routed").alias("status"), F.when(k % 5 == 2, "03").otherwise("02").alias("assigned_case"), F.when(k % 5 == 1, "passed").otherwise("failed").alias("failure_status")
     )
     return routing.eligible(selected, diagnoses, "02")
@@ -934,10 +972,19 @@ def published_release(spark, folder):
     return release.release_members(spark, root).select("dataset_id", "dataset_revision_id")
 
 
-@query("final_revision_ids", f"""WITH {SCAN_SQL} SELECT count(DISTINCT hole) AS holes FROM scan""")
+@query(
+    "final_revision_ids",
+    f"""WITH {SCAN_SQL},
+l0 AS (SELECT hole, sample_no AS p, sha256('{{"event_id":' || event_id || ',"us":' || us || '}}') AS h FROM scan),
+l1 AS (SELECT hole, p // 4096 AS p, count(*) AS n, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS h FROM l0 GROUP BY 1, 2),
+l2 AS (SELECT hole, p // 4096 AS p, sum(n) AS n, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS h FROM l1 GROUP BY 1, 2),
+l3 AS (SELECT hole, p // 4096 AS p, sum(n) AS n, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS h FROM l2 GROUP BY 1, 2),
+d AS (SELECT hole, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS digest FROM l3 GROUP BY 1),
+i AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('revision:' || hole || ':' || digest)) AS h FROM d)
+SELECT hole, n, digest, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS revision_id FROM i""",
+)
 def final_revision_ids(spark, folder):
-    ids = release.revision_identity(scan(spark, folder), prefix="revision", by=["hole"], position="sample_no", columns=["event_id", "us"])
-    return ids.agg(F.count_distinct("revision_id").alias("holes"))
+    return release.revision_identity(scan(spark, folder), prefix="revision", by=["hole"], position="sample_no", columns=["event_id", "us"])
 
 
 @query("daily_calls_kept", f"WITH {DAILY_SQL} SELECT hole, depth_from_m, call FROM daily WHERE hole IN (SELECT c_custkey FROM customer)")

@@ -179,16 +179,17 @@ def lookup_with_fallback(spark, folder):
     return relations.with_fallback(orders, latest(items.where("l_returnflag = 'R'")), latest(items), on=["o_orderkey"], columns=["d"])
 
 
-MEMBERSHIP_SQL = """official AS (SELECT DISTINCT l_suppkey AS dataset_id, l_partkey AS log_id, CASE WHEN l_partkey % 2 = 0 THEN 'scalar' ELSE 'spectral' END AS kind FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 44),
-local AS (SELECT p_partkey AS log_id, CASE WHEN p_partkey % 2 = 0 THEN 'scalar' ELSE 'spectral' END AS kind FROM part WHERE p_size < 40)"""
+MEMBERSHIP_SQL = """official AS (SELECT DISTINCT l_suppkey AS dataset_id, l_partkey AS log_id, CASE WHEN l_returnflag = 'R' AND l_quantity > 48 THEN 'scalar' ELSE 'spectral' END AS kind FROM lineitem),
+local AS (SELECT p_partkey AS log_id, CASE WHEN p_size % 2 = 0 THEN 'scalar' ELSE 'spectral' END AS kind FROM part)"""
 
 
 def _membership(spark, folder):
-    kind = lambda c: F.when(F.col(c) % 2 == 0, "scalar").otherwise("spectral").alias("kind")
-    official = table(spark, folder, "lineitem").where("l_returnflag = 'R' and l_quantity > 44").select(
-        F.col("l_suppkey").alias("dataset_id"), F.col("l_partkey").alias("log_id"), kind("l_partkey")
+    """Logs that every line assigns to its supplier, of a kind by return flag and quantity, and the log of every part, of the kind of its size."""
+    kind = lambda scalar: F.when(scalar, "scalar").otherwise("spectral").alias("kind")
+    official = table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("dataset_id"), F.col("l_partkey").alias("log_id"), kind((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48))
     ).distinct()
-    local = table(spark, folder, "part").where("p_size < 40").select(F.col("p_partkey").alias("log_id"), kind("p_partkey"))
+    local = table(spark, folder, "part").select(F.col("p_partkey").alias("log_id"), kind(F.col("p_size") % 2 == 0))
     return local, official
 
 
