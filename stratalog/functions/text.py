@@ -126,17 +126,26 @@ def parse_log_name(value: str | Column) -> Column:
 
 
 def number_text(value: str | Column) -> Column:
-    """Compact text of a number: no decimals for whole numbers, six significant digits otherwise.
+    """Compact text of a number: no decimals for whole numbers, six significant digits otherwise (a tie goes to the even one).
 
-    Written without an exponent; numbers below 1e-12 in magnitude keep 18 decimals.
+    Below 0.0001 and from a million on in magnitude, numbers that are not whole have an
+    exponent of two digits at least (1.5e-05).
     """
     x = _c(value).cast("double")
-    digits = F.greatest(F.lit(5) - F.floor(F.log10(F.abs(x))).cast("int"), F.lit(0))
+    places = F.floor(F.log10(F.abs(x))).cast("int")
+    digits = F.greatest(F.lit(5) - places, F.lit(0))
     scale = F.pow(F.lit(10.0), digits)
-    rounded = F.rint(x * scale) / scale
-    small = F.regexp_replace(F.format_string("%.18f", rounded), r"0+$", "")
-    plain = F.regexp_replace(F.when(F.abs(x) < 1e-6, small).otherwise(F.regexp_replace(F.format_string("%.12f", rounded), r"0+$", "")), r"\.$", "")
-    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(plain)
+    short = lambda c, form: F.regexp_replace(F.regexp_replace(F.format_string(form, c), r"0+$", ""), r"\.$", "")
+    plain = short(F.rint(x * scale) / scale, "%.12f")
+    # the mantissa may round up to ten
+    first = F.rint(x / F.pow(F.lit(10.0), places) * 100000.0) / 100000.0
+    over = F.abs(first) >= 10
+    power = places + F.when(over, 1).otherwise(0)
+    mantissa = short(F.when(over, first / 10.0).otherwise(first), "%.5f")
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    long_exponent = F.when(F.abs(power) > 99, F.concat(F.when(power < 0, "e-").otherwise("e+"), F.abs(power).cast("string"))).otherwise(exponent)
+    outside = (power < -4) | (power >= 6)
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).when(outside, F.concat(mantissa, long_exponent)).otherwise(plain)
 
 
 def wavelength_column(value: str | Column, unit: str | Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,6 +178,18 @@ def semi(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys.select(*on), list(on), "left_semi")
 
 
+def project_tables(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], members: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each table cut to the rows of one dataset: (table, key columns) by name, and the members by key columns joined with a comma.
+
+    A table whose key has no members is kept empty; every table keeps all its columns.
+    """
+    kept = {}
+    for name, (df, on) in tables.items():
+        keys = members.get(",".join(on))
+        kept[name] = df.where(F.lit(False)) if keys is None else semi(df, keys, on)
+    return kept
+
+
 def anti(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys.select(*on), list(on), "left_anti")
 

@@ -329,7 +329,8 @@ def package_problems(spark, folder):
 t AS (SELECT h, r AS step, r = 3 AND h % 5 = 0 AS fails, r = 4 AND h % 5 = 1 AS mixed FROM s WHERE NOT (r = 2 AND h % 5 = 2)),
 p AS (SELECT *, lag(step) OVER (PARTITION BY h ORDER BY step) AS prev FROM t)
 SELECT 'report chain' AS rule, h || '/' || step AS key, CASE WHEN fails THEN 'not passed' WHEN mixed THEN 'versions mixed' ELSE 'step missing' END AS detail
-FROM p WHERE fails OR mixed OR (prev IS NOT NULL AND step <> prev + 1)""",
+FROM p WHERE fails OR mixed OR (prev IS NOT NULL AND step <> prev + 1)
+UNION ALL SELECT 'report chain', o_custkey || '/step/' || o_orderkey, 'artefact changed' FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0""",
 )
 def report_chain_problems(spark, folder):
     from stratalog.operators.ordered import number, ordered_scan
@@ -339,7 +340,10 @@ def report_chain_problems(spark, folder):
     steps = numbered.where(~((step == 2) & (h % 5 == 2))).select(
         "h", "step", F.when((step == 3) & (h % 5 == 0), "failed").otherwise("passed").alias("status"), F.when((step == 4) & (h % 5 == 1), "v2").otherwise("v1").alias("version"), (step - 1).alias("previous_step")
     )
-    return quality.report_chain(steps, key=["h"])
+    k = F.col("o_orderkey")
+    digest = F.sha2(k.cast("string").cast("binary"), 256)
+    artefacts = table(spark, folder, "orders").select(F.col("o_custkey").alias("h"), F.concat(F.lit("step/"), k.cast("string")).alias("path"), F.when(k % 89 != 0, digest).alias("sha256"), F.when(k % 97 == 0, F.sha2(digest.cast("binary"), 256)).otherwise(digest).alias("expected_sha256"))
+    return quality.report_chain(steps, artefacts, key=["h"])
 
 
 @query(

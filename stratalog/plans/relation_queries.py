@@ -520,12 +520,15 @@ def replaced_members(spark, folder):
 
 @query(
     "parent_chain_levels",
-    """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS parent FROM part),
+    """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 5 THEN -p_partkey WHEN p_partkey % 97 = 3 THEN p_partkey WHEN p_partkey % 101 = 7 THEN p_partkey + 1 WHEN p_partkey % 101 = 8 THEN p_partkey - 1 WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part),
 c AS (SELECT id, CAST(0 AS BIGINT) AS level FROM n WHERE parent IS NULL UNION ALL SELECT n.id, level + 1 FROM n JOIN c ON n.parent = c.id)
 SELECT n.id, c.level FROM n LEFT JOIN c ON c.id = n.id""",
 )
 def parent_chain_levels(spark, folder):
-    nodes = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 2)).alias("parent"))
+    """Parents by halving, some of them missing, some nodes their own parents, some pairs each other's."""
+    k = F.col("p_partkey")
+    parent = F.when(k % 11 == 5, -k).when(k % 97 == 3, k).when(k % 101 == 7, k + 1).when(k % 101 == 8, k - 1).when(k > 1, F.floor(k / 2))
+    nodes = table(spark, folder, "part").select(k.alias("id"), parent.alias("parent"))
     return relations.parent_chain(nodes, ident="id", parent="parent")
 
 
