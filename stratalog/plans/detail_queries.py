@@ -14,7 +14,7 @@ from stratalog.sources import documents, sinks
 
 @query(
     "compact_numbers",
-    """WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) / 3.0 / pow(10.0, 2 * l_linenumber) AS small, CAST(l_extendedprice AS DOUBLE) * 12345.6789 AS large, CAST(l_quantity AS DOUBLE) AS whole FROM lineitem)
+    """WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) / 3.14159265 / pow(10.0, 2 * l_linenumber) AS small, CAST(l_extendedprice AS DOUBLE) * 12345.6789 AS large, CAST(l_quantity AS DOUBLE) AS whole FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN small = floor(small) THEN CAST(CAST(small AS BIGINT) AS VARCHAR) ELSE printf('%g', small) END AS small,
  CASE WHEN large = floor(large) THEN CAST(CAST(large AS BIGINT) AS VARCHAR) ELSE printf('%g', -large) END AS large, CAST(CAST(whole AS BIGINT) AS VARCHAR) AS whole FROM v""",
 )
@@ -22,7 +22,7 @@ def compact_numbers(spark, folder):
     """Number texts of many magnitudes, with exponents on both ends."""
     price = F.col("l_extendedprice").cast("double")
     large = price * 12345.6789
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (price / 3.0 / F.pow(F.lit(10.0), 2 * F.col("l_linenumber"))).alias("small"), F.when(large == F.floor(large), large).otherwise(-large).alias("large"), F.col("l_quantity").cast("double").alias("whole"))
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (price / 3.14159265 / F.pow(F.lit(10.0), 2 * F.col("l_linenumber"))).alias("small"), F.when(large == F.floor(large), large).otherwise(-large).alias("large"), F.col("l_quantity").cast("double").alias("whole"))
     return rows.select("l_orderkey", "l_linenumber", *[text.number_text(c).alias(c) for c in ("small", "large", "whole")])
 
 
