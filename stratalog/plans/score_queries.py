@@ -239,6 +239,30 @@ def hole_anomalies(spark, folder):
     return scoring.score_holes(scored, spec.kept_families, collars, hole="hole")
 
 
+@query(
+    "hole_distances",
+    f"""WITH {SCALED_SQL}, {SITES_SQL.strip()},
+part AS (SELECT hole, unnest(v) AS z, generate_subscripts(v, 1) AS i FROM scaled),
+prof AS (SELECT hole, i, quantile_cont(z, 0.5) AS m, stddev_pop(z) AS d, count(*) AS n FROM part GROUP BY 1, 2),
+p AS (SELECT hole, max(n) AS n, list_concat(list(m ORDER BY i), list(d ORDER BY i)) AS v FROM prof GROUP BY 1),
+c AS (SELECT list(q ORDER BY i) AS c FROM (SELECT i, quantile_cont(x, 0.5) AS q FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM p) GROUP BY i)),
+away AS (SELECT hole, n, sqrt(list_sum(list_transform(list_zip(v, c), lambda t: (t[1] - t[2]) ** 2))) / sqrt(len(v)) AS d FROM p, c),
+sq AS (SELECT a.hole, b.hole AS other, list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) ** 2)) AS s, len(a.v) AS w FROM p a JOIN p b ON a.hole <> b.hole),
+alike AS (SELECT hole, arg_min(other, (s, other)) AS most_like FROM sq GROUP BY 1),
+km AS (SELECT a.hole_id AS hole, b.hole_id AS other, {km_sql("a.latitude", "a.longitude", "b.latitude", "b.longitude")} AS km FROM sites a JOIN sites b ON a.hole_id <> b.hole_id WHERE a.hole_id IN (SELECT hole FROM p) AND b.hole_id IN (SELECT hole FROM p)),
+near AS (SELECT *, row_number() OVER (PARTITION BY hole ORDER BY round(km, 9), other) AS place FROM km),
+local AS (SELECT near.hole, arg_min(near.other, place) AS nearest, min(km) AS km, avg(sqrt(s) / sqrt(w)) AS d FROM near JOIN sq ON sq.hole = near.hole AND sq.other = near.other WHERE place <= 5 GROUP BY 1)
+SELECT away.hole, n AS n_intervals, round_even(away.d, 4) AS profile_distance, most_like, nearest AS nearest_geographic_hole, round_even(km, 2) AS nearest_geographic_km, round_even(local.d, 4) AS local_anomaly_distance
+FROM away LEFT JOIN alike USING (hole) LEFT JOIN local USING (hole)""",
+)
+def hole_distances(spark, folder):
+    """The parts of the hole model that SQL can say: distance, likeness, and what the nearest holes on the map are like."""
+    scored, spec = scaled_table(spark, folder)
+    collars = sites(spark, folder).withColumnRenamed("hole_id", "hole")
+    found = scoring.score_holes(scored, spec.kept_families, collars, hole="hole")
+    return found.select("hole", "n_intervals", "profile_distance", "most_like", "nearest_geographic_hole", "nearest_geographic_km", "local_anomaly_distance")
+
+
 @query("principal_axis_scores")
 def principal_axis_scores(spark, folder):
     vectors = spectra(spark, folder).select("vec_id", F.col("values").cast("array<double>").alias("v"))
@@ -347,6 +371,29 @@ def band_model_saved(spark, folder):
     )
 
 
+@query(
+    "band_model_identity",
+    """WITH b AS (SELECT vec_id, label % 7 = 6 AS missing, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS d FROM b WHERE NOT missing GROUP BY 1)
+SELECT vec_id, round(sum(((x - m) / CASE WHEN d > 0 THEN d ELSE 1 END) ** 2), 5) AS squared_distance, true AS same_when_loaded FROM b JOIN s USING (i) GROUP BY 1""",
+)
+def band_model_identity(spark, folder):
+    """What a band model leaves over and what it projects add up to a spectrum's distance; a loaded model scores every row as the fitted one."""
+    values = spectra(spark, folder)
+    bands = values.select("vec_id", (F.col("label") % 7 == 6).alias("missing"), *[F.get("values", F.lit(i)).cast("double").alias(f"band_{380 + 4 * i}") for i in range(64)])
+    fitted = fit_bands(bands.where(~F.col("missing")), "vec_id", trees=50)
+    path = scratch(spark, "band-model")
+    fitted.save(path)
+    loaded = BandModel.load(spark, path)
+    standard = F.array(*[(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(loaded.columns, loaded.mean, loaded.scale)])
+    placed = bands.select("vec_id", standard.alias("standard")).select("vec_id", scoring.axis_scores("standard", loaded.axes).alias("s"))
+    projected = F.aggregate("s.projection", F.lit(0.0), lambda acc, x: acc + x * x)
+    total = placed.select("vec_id", F.round(F.col("s.reconstruction_error") * F.col("s.reconstruction_error") + projected, 5).alias("squared_distance"))
+    score = lambda model, name: score_bands(bands, model, "vec_id", skipped=F.col("missing")).select("vec_id", F.struct("anomaly_score", "is_anomaly", "reconstruction_error").alias(name))
+    same = score(fitted, "one").join(score(loaded, "two"), "vec_id").select("vec_id", (F.col("one") == F.col("two")).alias("same_when_loaded"))
+    return total.join(same, "vec_id")
+
+
 LATTICE_SQL = """WITH l AS (SELECT min(p_partkey) AS id, p_partkey % 7 AS x, p_partkey // 7 % 7 AS y, p_size % 6 AS z FROM part GROUP BY 2, 3, 4),
 p AS (SELECT a.id, b.id AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM l a JOIN l b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, near) AS place FROM p)
