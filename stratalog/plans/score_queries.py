@@ -394,14 +394,14 @@ def band_model_identity(spark, folder):
     return total.join(same, "vec_id")
 
 
-LATTICE_SQL = """WITH l AS (SELECT min(p_partkey) AS id, p_partkey % 7 AS x, p_partkey // 7 % 7 AS y, p_size % 6 AS z FROM part GROUP BY 2, 3, 4),
+LATTICE_SQL = """WITH l AS (SELECT min(p_partkey) AS id, p_partkey % 13 AS x, p_partkey // 13 % 13 AS y, p_partkey // 338 AS z FROM part GROUP BY 2, 3, 4),
 p AS (SELECT a.id, b.id AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM l a JOIN l b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, near) AS place FROM p)
 SELECT id, near, round(sqrt(d), 9) AS distance FROM r WHERE place <= 5"""
 
 
 def _lattice(spark, folder, small):
-    at = F.array(*[c.cast("double") for c in (F.col("p_partkey") % 7, F.floor(F.col("p_partkey") / 7) % 7, F.col("p_size") % 6)])
+    at = F.array(*[c.cast("double") for c in (F.col("p_partkey") % 13, F.floor(F.col("p_partkey") / 13) % 13, F.floor(F.col("p_partkey") / 338))])
     entries = table(spark, folder, "part").groupBy(at.alias("v")).agg(F.min("p_partkey").alias("vid"))
     near = nearest_vectors(entries, 5, small=small)
     return near.select(F.col("vid").alias("id"), F.col("nid").alias("near"), F.round("distance", 9).alias("distance"))
@@ -409,7 +409,7 @@ def _lattice(spark, folder, small):
 
 @query("lattice_neighbours", LATTICE_SQL)
 def lattice_neighbours(spark, folder):
-    """Five nearest on a lattice, where nearly all distances are tied."""
+    """Five nearest on a lattice that grows with the table, two parts to a point, where nearly all distances are tied."""
     return _lattice(spark, folder, None)
 
 
