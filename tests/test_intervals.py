@@ -82,7 +82,8 @@ def test_filled_segments_tile_the_hole(spark, runs):
 
 def test_rectangles(spark):
     r = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 0, 10, 10, 10), (1, 3, 9, 9, 5, 5), (2, 4, 0, 0, 10, 10)], "f int, id int, x int, y int, width int, height int")
-    assert rows(iv.rectangle_overlaps(r, frame=["f"], ident="id"), "a", "b") == [(1, 3), (2, 3)]
+    # the pairs (1, 3) and (2, 3), said once per rectangle
+    assert rows(iv.rectangle_overlaps(r, frame=["f"], ident="id"), "id", "overlaps", "witness") == [(1, 1, 3), (2, 1, 3), (3, 2, 1)]
 
 
 def test_first_cover_keeps_uncovered_points(spark):
