@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm import bpe, lsh_forest, mixing, passages, quality_rules
 from stratalog.llm.queries import trusted_documents
+from stratalog.llm.words import small_text_batches
 from stratalog.plans.registry import query
 from stratalog.session import settle_table, table
 
@@ -24,16 +25,19 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_text_batches(spark)
     model = quality_rules.fit(docs, trusted_documents(table(spark, sf_dir, "labels")))
     return quality_rules.passing(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_text_batches(spark)
     return lsh_forest.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; n_chars, if there, follows the text."""
+    small_text_batches(spark)
     cut = passages.without_passages(docs, passages.repeated_passages(docs))
     if "n_chars" in cut.columns:
         kind = cut.schema["n_chars"].dataType
@@ -42,11 +46,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_text_batches(spark)
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, token_ids, and decoded_sha256 of the bytes that the ids decode to."""
+    small_text_batches(spark)
     decoded = bpe.decode(bpe.encode(docs, keep=["doc_id", "source"]))
     return decoded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

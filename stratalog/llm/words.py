@@ -7,11 +7,13 @@ about a megabyte, which keeps a task's memory flat however long a batch is.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -29,6 +31,19 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
+def small_text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts be at most ``BATCH_BYTES`` from here on, unless the session has them smaller still.
+
+    An executor holds a batch several times: in Spark, on the way and in Python.
+    """
+    said = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH_KEY, "").lower())
+    if said is None or int(said[1]) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[said[2]] > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, with as many underscores as it needs not to be one of ``taken``."""
     taken = {t.lower() for t in taken}
