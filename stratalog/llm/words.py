@@ -39,7 +39,7 @@ def small_text_batches(spark: SparkSession) -> None:
 
     An executor holds a batch several times: in Spark, on the way and in Python.
     """
-    said = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH_KEY, "").lower())
+    said = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH_KEY, "64m").lower())
     if said is None or int(said[1]) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[said[2]] > BATCH_BYTES:
         spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
 
